@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, urls
+from . import lengths, mixing, packing, quality, urls
 from .common import table
 
 #: The production rules of op2: host, path prefix, verdict.
@@ -18,8 +18,15 @@ URL_RULES = [
 ]
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS r(host, path, verdict)")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
@@ -37,6 +44,42 @@ FROM s
 """.format(rules=", ".join(str(r) for r in URL_RULES))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    mixed = mixing.mix(docs)
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
+OP5_POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+
+
+def _op5_sql(rounds: int = 12, seed: int = 7) -> str:
+    """The same fit as unrolled CTEs: one for each margin of each round."""
+    ctes = ["""d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, source AS s0, lang AS l0,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n_tokens,
+  len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) + 1 AS n_lines FROM documents)""",
+            """t AS (SELECT *, CASE WHEN n_tokens <= 50 THEN 'short' WHEN n_tokens < 12 * n_lines THEN 'list'
+  WHEN n_tokens > 1000 THEN 'long' ELSE 'prose' END AS topic FROM d)""",
+            "w0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE AS weight FROM t GROUP BY ALL)"]
+    for m, p in OP5_POWERS.items():
+        ctes.append(f"a_{m} AS MATERIALIZED (SELECT {m}, pow(sum(tokens), {p}) AS x FROM w0 GROUP BY 1)")
+        ctes.append(f"t_{m} AS MATERIALIZED (SELECT {m}, x / (SELECT sum(x) FROM a_{m}) AS target FROM a_{m})")
+    k = 0
+    for _ in range(rounds):
+        for m in OP5_POWERS:
+            ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT w.source, w.lang, w.topic, tokens, weight * target / sum(weight) OVER (PARTITION BY w.{m}) AS weight FROM w{k} w JOIN t_{m} x ON w.{m} = x.{m})")
+            k += 1
+    return f"""WITH {", ".join(ctes)}, r AS (SELECT source, lang, topic, weight / tokens / (SELECT max(weight / tokens) FROM w{k}) AS p FROM w{k})
+SELECT doc_id, s0 AS source, l0 AS lang, t.topic, n_tokens, round(p, 6) AS probability,
+  ('0x' || substr(md5(doc_id || ':{seed}'), 1, 12))::BIGINT / 281474976710656.0 < p AS kept
+FROM t JOIN r ON t.source = r.source AND t.lang = r.lang AND t.topic = r.topic"""
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("text")
+    return lengths.summarise(lengths.histogram(docs))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality.judge(docs, carry=["doc_id"]).select(
@@ -46,10 +89,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_packing": op1_packing,
         "op2_url_filter": op2_url_filter,
+        "op5_mixing": op5_mixing,
+        "op6_token_counts": op6_token_counts,
         "op7_quality_rules": op7_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL}
+    return {"op2_url_filter": OP2_SQL, "op5_mixing": _op5_sql()}
