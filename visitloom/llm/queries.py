@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lengths, mixing, packing, quality, urls
+from . import html, lengths, mixing, packing, quality, topk, urls
 from .common import table
 
 #: The production rules of op2: host, path prefix, verdict.
@@ -44,6 +44,10 @@ FROM s
 """.format(rules=", ".join(str(r) for r in URL_RULES))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     mixed = mixing.mix(docs)
@@ -87,15 +91,31 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
         "op2_url_filter": op2_url_filter,
+        "op3_topk_search": op3_topk_search,
         "op5_mixing": op5_mixing,
         "op6_token_counts": op6_token_counts,
         "op7_quality_rules": op7_quality_rules,
+        "op9_html_extraction": op9_html_extraction,
     }
 
 
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op5_mixing": _op5_sql()}
+    return {"op3_topk_search": OP3_SQL, "op2_url_filter": OP2_SQL, "op5_mixing": _op5_sql()}
