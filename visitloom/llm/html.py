@@ -192,6 +192,10 @@ LABELLED = [
     [(45, 2, 1, 0, 0), (12, 6, 0, 1, 1), (12, 12, 0, 1, 1), (2, 1, 0, 1, 1), (5, 0, 0, 0, 0), (75, 1, 0, 0, 0), (33, 0, 1, 0, 0), (140, 3, 1, 0, 0)],
     [(4, 4, 0, 0, 0), (3, 0, 0, 0, 1), (60, 12, 0, 0, 1), (44, 9, 0, 0, 1), (2, 0, 0, 0, 1), (75, 15, 0, 0, 1), (5, 4, 0, 0, 0), (3, 3, 0, 0, 0)],
     [(2, 2, 0, 0, 0), (4, 0, 0, 0, 1), (52, 14, 0, 0, 1), (38, 7, 0, 0, 1), (3, 0, 0, 0, 1), (66, 20, 0, 0, 1), (6, 5, 0, 0, 0), (4, 4, 0, 0, 0)],
+    [(3, 3, 1, 0, 0), (20, 0, 0, 1, 1), (4, 4, 0, 1, 1)],
+    [(50, 0, 0, 1, 1), (2, 2, 0, 1, 1), (2, 2, 0, 1, 1)],
+    [(9, 9, 0, 1, 1), (9, 9, 0, 1, 1), (1, 1, 0, 1, 1)],
+    [(5, 0, 0, 1, 1), (8, 8, 0, 1, 1), (70, 0, 0, 0, 0), (6, 6, 0, 0, 0)],
     [(1, 0, 0, 1, 1), (1, 0, 0, 1, 1), (3, 0, 0, 1, 1), (500, 0, 0, 1, 1), (2, 0, 1, 1, 0), (2, 1, 1, 1, 0), (1, 0, 1, 0, 0)],
 ]
 
