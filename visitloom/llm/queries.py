@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, lengths, mixing, packing, quality, topk, urls
+from . import html, lengths, minhash, mixing, packing, quality, topk, urls
 from .common import table
 
 #: The production rules of op2: host, path prefix, verdict.
@@ -91,6 +91,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -103,6 +107,7 @@ def queries() -> dict:
         "op5_mixing": op5_mixing,
         "op6_token_counts": op6_token_counts,
         "op7_quality_rules": op7_quality_rules,
+        "op8_minhash_dedup": op8_minhash_dedup,
         "op9_html_extraction": op9_html_extraction,
     }
 
