@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, lengths, minhash, mixing, packing, quality, topk, urls
+from . import html, lengths, lm, minhash, mixing, packing, quality, topk, urls
 from .common import table
 
 #: The production rules of op2: host, path prefix, verdict.
@@ -99,6 +99,12 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    scored = lm.score_texts(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
@@ -109,6 +115,7 @@ def queries() -> dict:
         "op7_quality_rules": op7_quality_rules,
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_html_extraction": op9_html_extraction,
+        "op10_lm_scoring": op10_lm_scoring,
     }
 
 
