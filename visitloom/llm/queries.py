@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, lengths, lm, minhash, mixing, packing, quality, topk, urls
+from . import html, lengths, lines, lm, minhash, mixing, packing, quality, topk, urls
 from .common import table
 
 #: The production rules of op2: host, path prefix, verdict.
@@ -48,6 +48,11 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     mixed = mixing.mix(docs)
@@ -110,6 +115,7 @@ def queries() -> dict:
         "op1_packing": op1_packing,
         "op2_url_filter": op2_url_filter,
         "op3_topk_search": op3_topk_search,
+        "op4_line_dedup": op4_line_dedup,
         "op5_mixing": op5_mixing,
         "op6_token_counts": op6_token_counts,
         "op7_quality_rules": op7_quality_rules,
