@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches
+from .common import prepare_workers
 
 #: Elements whose content is never text.
 SKIP = frozenset("script style noscript template svg math iframe object canvas select textarea audio video".split())
@@ -257,7 +257,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     The whole html is read. Null and empty html give an empty text, as do pages without main text. A
     ``text`` or ``n_chars`` column of ``pages`` is replaced; all other columns pass through, nulls too.
     """
-    in_batches(pages.sparkSession)
+    prepare_workers(pages.sparkSession)
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     schema = pages.select(*keep, F.lit("").alias("text")).schema
 

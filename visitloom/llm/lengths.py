@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import in_batches
+from .common import prepare_workers
 
 #: Lengths in a block of the two-level suffix sums.
 BLOCK = 1024
@@ -21,7 +21,7 @@ BLOCK = 1024
 
 def histogram(docs: DataFrame, text: str = "text", paths: tuple[str, str | None] | None = None) -> DataFrame:
     """(n_tokens, docs): how many texts have each encoded length, without an end id; a null or empty text has length 0."""
-    in_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     json_path, ranks = paths or tokens.default_paths()
 
     def count(batches):

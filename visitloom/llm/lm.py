@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, scratch_dir
+from .common import prepare_workers, scratch_dir
 from .minhash import _FOLD, _mix, _words
 
 #: Ids of the start of a text (only a context) and of its end (a token).
@@ -326,7 +326,7 @@ def score_texts(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
     are dropped; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    in_batches(spark)
+    prepare_workers(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     learn = d.where("train").select("text")

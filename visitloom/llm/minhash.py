@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, written
+from .common import prepare_workers, written
 from .components import connected_components
 
 BINS, ROWS = 256, 7
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     unless the whole component has none. Words are those between ASCII white space, A-Z lower-cased. An
     empty table gives an empty result; other columns are dropped.
     """
-    in_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     sig = written(d.mapInArrow(_signatures(width), f"doc_id {kind}, n_shingles long, fp binary, bands array<long>"), "signatures")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import in_batches, written
+from .common import prepare_workers, written
 
 _PIECE = "start long, length long, doc_tokens long, level int, part long, window long, offset long, final boolean, ids binary"
 
@@ -108,7 +108,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     ``fan_in`` tasks' leftovers are merged at a time: memory is bounded by a batch of texts, the longest document and
     ``fan_in * n_open * size`` ids. sequence_id holds level, task and window number.
     """
-    in_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     json_path, ranks = paths or tokens.default_paths()
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, {_PIECE}"

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches
+from .common import prepare_workers
 
 #: Most candidates that a task holds, and most queries that are sent to it.
 CHUNK_ROWS, QUERY_ROWS = 131_072, 262_144
@@ -123,7 +123,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", emb
     ordered exactly and returned as the nearest long. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    in_batches(spark)
+    prepare_workers(spark)
     x = F.col(embedding)
     good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     v = vectors.where(F.col(vec_id).isNotNull() & x.isNotNull() & (F.size(x) > 0) & good).select(
