@@ -170,7 +170,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_check, "a binary, b binary, common long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", pivots: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", pivots: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
     Documents are linked if their shingle sets share at least ``percent`` in a hundred of their union. component_id is the
@@ -186,8 +186,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     classes = written(
         sig.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     keyed = classes.select("fp", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    members = written(keyed.join(shared, "key"), "members")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(keyed.join(shared, "key"), "buckets")
+    met = members.groupBy("fp").agg(F.sum("size").alias("met"))
+    members = written(members.drop("size").join(met, "fp"), "members")
     wanted = members.select("fp").distinct().join(classes.select("fp", "least"), "fp").select(F.col("least").alias("doc_id")).distinct()
     if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
@@ -195,21 +197,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     comps = written(members.select("fp", F.col("fp").alias("component")).distinct(), "components")
     tested = None
     for turn in range(pivots + 1):
-        live = members.join(comps, "fp")
-        spans = live.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        live = written(live.join(spans, "key", "left_semi"), "live")
+        live = _spanning(members, comps)
         if live.isEmpty():
             break
-        pairs = _candidates(live, turn, turn == pivots, percent)
+        if turn == pivots:
+            comps = written(_merged(comps, written(_rest(live, sets, percent), "checked")), "components")
+            break
+        pairs = _candidates(live, turn == 0, percent)
         if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        sized = _confirm(pairs.select("a", "b"), sets).join(pairs, ["a", "b"])
-        checked = written(sized.select("a", "b", (100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).alias("linked")), "checked")
-        tested = checked if tested is None else tested.unionByName(checked)
-        comps = written(_merged(comps, checked.where("linked")), "components")
+        if not pairs.isEmpty():
+            sized = _confirm(pairs.select("a", "b"), sets).join(pairs, ["a", "b"])
+            checked = written(sized.select("a", "b", (100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).alias("linked")), "checked")
+            tested = checked.select("a", "b") if tested is None else tested.unionByName(checked.select("a", "b"))
+            comps = written(_merged(comps, checked.where("linked")), "components")
+        if turn:  # the pivots have met all others of their buckets
+            pivot = live.groupBy("key").agg(F.max(F.struct("met", "fp")).alias("p")).select("key", F.col("p.fp").alias("fp"))
+            members = live.drop("component").join(pivot, ["key", "fp"], "left_anti")
+            members = written(members, "members")
     of = comps.join(classes.select("fp", "least"), "fp")
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
     of = classes.select("fp", "least").join(comps, "fp", "left").join(least, "component", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
@@ -218,23 +224,94 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _candidates(live: DataFrame, turn: int, all_pairs: bool, percent: int) -> DataFrame:
+def _spanning(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members with their component, of buckets that span several."""
+    live = members.join(comps, "fp")
+    spans = live.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return written(live.join(spans, "key", "left_semi"), "live")
+
+
+def _candidates(live: DataFrame, first: bool, percent: int) -> DataFrame:
     """Untested pairs (a, b, na, nb) across components whose sizes allow a link: stars about one pivot of each bucket."""
     m = live.select("key", F.col("fp").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    if all_pairs:
-        star = live.select("key", F.col("fp").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    else:
-        order = F.col("fp") if turn < 2 else F.xxhash64("fp", F.lit(turn))
-        star = live.groupBy("key").agg(F.min_by(F.struct("fp", "n", "component"), order).alias("p")).select(
-            "key", F.col("p.fp").alias("x"), F.col("p.n").alias("nx"), F.col("p.component").alias("cx"))
-    pairs = m.join(star, "key").where(F.col("cx") != F.col("cy")).where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    if all_pairs:
-        pairs = pairs.where("x < y")
-    if turn == 0:  # at first each member meets one pivot only: most need no other
-        pairs = pairs.groupBy("y").agg(F.min(F.struct("x", "nx", "ny")).alias("p")).select("p.x", "y", "p.nx", "p.ny")
-    swap = F.col("x") > F.col("y")
-    pick = lambda p, q, name: F.when(swap, F.col(q)).otherwise(F.col(p)).alias(name)
-    return pairs.select(pick("x", "y", "a"), pick("y", "x", "b"), pick("nx", "ny", "na"), pick("ny", "nx", "nb")).distinct()
+    star = live.groupBy("key").agg(F.max(F.struct("met", "fp", "n", "component")).alias("p"))
+    pairs = m.join(star, "key").where(F.col("p.component") != F.col("cy")).where(100 * F.least("p.n", "ny") >= percent * F.greatest("p.n", "ny"))
+    if first:  # each member meets one pivot only: most need no other
+        pairs = pairs.groupBy("y", "ny").agg(F.max(F.struct("p.met", "p.fp", "p.n")).alias("p"))
+    x, n, swap = F.col("p.fp"), F.col("p.n"), F.col("p.fp") > F.col("y")
+    pick = lambda p, q, name: F.when(swap, q).otherwise(p).alias(name)
+    return pairs.select(pick(x, F.col("y"), "a"), pick(F.col("y"), x, "b"), pick(n, F.col("ny"), "na"), pick(F.col("ny"), n, "nb")).distinct()
+
+
+def _rest(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a bucket in different components; at most one for a member and a component in a block.
+
+    Members outside their bucket's largest component are tested against that component, which is sent once however many
+    buckets they share, and among themselves.
+    """
+    sizes = live.groupBy("key", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    stray = written(live.select("key", "fp", "component").join(main, "key").where("component <> main"), "strays")
+    outer = stray.select(F.col("main").alias("key"), "fp", "component").distinct()
+    inner = live.select(F.col("component").alias("key"), "fp", "component").join(stray.select(F.col("main").alias("key")).distinct(), "key", "left_semi").distinct()
+    among = stray.select("key", "fp", "component")
+    return _in_blocks(outer, inner, sets, percent).unionByName(_in_blocks(among, among, sets, percent))
+
+
+def _in_blocks(few: DataFrame, many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between ``few`` and ``many`` (key, fp, component) of a key: few are dealt into blocks of about ``STRAND``, each meets all of many."""
+    blocks = few.groupBy("key").agg(F.ceil(F.count("*") / STRAND).cast("int").alias("blocks"))
+    left = few.join(blocks, "key").select("key", F.pmod(F.xxhash64("fp"), F.col("blocks").cast("bigint")).cast("int").alias("block"), F.lit(0).alias("kind"), "fp", "component")
+    right = many.join(blocks, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "fp", "component")
+    dealt = left.unionByName(right).join(sets, "fp").select("key", "block", "kind", "fp", "component", "hashes")
+
+    def test(batches):
+        import pyarrow as pa
+
+        at, held, block = None, [], None
+        for b in batches:
+            out = []
+            for key, no, kind, fp, comp, s in zip(*(b.column(k).to_pylist() for k in range(5)), b.column(5)):
+                s = np.frombuffer(s.as_buffer(), np.uint64)
+                if (key, no) != at:
+                    at, held, block = (key, no), [], None
+                if kind == 0:
+                    held.append((fp, comp, s))
+                    continue
+                if block is None:
+                    block = _Block(held)
+                out += block.links(fp, comp, s, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
+
+    return dealt.repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(test, "a binary, b binary")
+
+
+class _Block:
+    """Sets of a block as postings: hash -> members that have it."""
+
+    def __init__(self, held: list):
+        self.fps, self.comps = [h[0] for h in held], [h[1] for h in held]
+        self.sizes = np.array([len(h[2]) for h in held])
+        flat = np.concatenate([h[2] for h in held])
+        who = np.repeat(np.arange(len(held)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.who = who[order]
+        self.hashes, self.first = np.unique(flat[order], return_index=True)
+        self.first = np.append(self.first, len(flat))
+        self.seen: set = set()
+
+    def links(self, fp, comp, s: np.ndarray, percent: int) -> list:
+        at = np.searchsorted(self.hashes, s)
+        hit = at[self.hashes[np.minimum(at, len(self.hashes) - 1)] == s]
+        lo, n = self.first[hit], self.first[hit + 1] - self.first[hit]
+        spots = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+        common = np.bincount(self.who[spots], minlength=len(self.fps))
+        out = []
+        for i in np.nonzero(100 * common >= percent * (self.sizes + len(s) - common))[0]:
+            if self.comps[i] != comp and (i, comp) not in self.seen:
+                self.seen.add((i, comp))
+                out.append((self.fps[i], fp))
+        return out
 
 
 def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
