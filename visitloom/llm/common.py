@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, return.
 WS_CLASS = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,18 +81,10 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-_shipped: set[str] = set()
-
-
 def prepare_workers(spark: SparkSession) -> None:
-    """Before Python runs on executors: this package is sent to them once, and Arrow batches are kept small, since texts can be long."""
+    """Before Python runs on executors: they get this package, and Arrow batches are kept small, since texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        _shipped.add(app)
-        package = Path(__file__).resolve().parents[1]
-        base = f"{tempfile.mkdtemp(prefix='visitloom-')}/{package.name}"
-        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", package.parent, package.name))
+    ship_package(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
