@@ -126,7 +126,7 @@ def synonym_of(reply: Column, term: Column) -> Column:
     entries = F.from_json(reply, schema.SYNONYM_REPLY)
     level = lambda x, f: F.flatten(F.transform(x, lambda e: F.coalesce(e[f], F.from_json(F.lit("[]"), _EMPTY[f]))))
     words = level(level(level(entries, "meanings"), "definitions"), "synonyms")
-    fits = F.filter(F.transform(words, clean_term), lambda w: (w != "") & (w != clean_term(term)) & (F.size(F.split(w, " ")) < 5))
+    fits = F.filter(F.transform(words, lambda w: clean_term(w)), lambda w: (w != "") & (w != clean_term(term)) & (F.size(F.split(w, " ")) < 5))
     return F.coalesce(F.get(fits, F.lit(0)), F.lit(""))
 
 
