@@ -107,22 +107,23 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     parts = {f"__x{k}": F.round(v * SCALE).cast("bigint") for k, v in enumerate(vector().values())}
     d = d.withColumns({**parts, "__lang": F.coalesce(F.col(lang), F.lit("")), "__source": F.coalesce(F.col(source), F.lit(""))})
     d = written(d.select(*carry, *own[:7], *parts, "__lang", "__source"), "quality")
-    rows = _grouped(d)
-    fit = written(_fit(rows.where("NOT base_failed").select("g", *parts), half, steps, consistency), "estimates")
-    if fit.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
-        fit = F.broadcast(fit)
-    scored = _distance(rows.join(fit, "g", "left"))
+    groups = written(_groups(d), "groups")
+    # every table of the fit has at most a row for each of these
+    send = F.broadcast if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else lambda t: t
+    rows = d.join(send(groups), ["__lang", "__source"], "left")
+    fit = written(_fit(written(rows.where("NOT base_failed").select("g", *parts), "vectors"), half, steps, consistency, send), "estimates")
+    scored = _distance(rows.join(send(fit), "g", "left"))
     return scored.select(
         *carry, *own[:7], "distance",
         (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).alias("kept"),
     )
 
 
-def _grouped(d: DataFrame) -> DataFrame:
-    """``d`` with g, the group whose estimate holds for the row."""
+def _groups(d: DataFrame) -> DataFrame:
+    """__lang, __source, g: the group whose estimate holds for these rows."""
     fine = d.where("NOT base_failed").groupBy("__lang", "__source").agg(F.count("*").alias("n"))
     per_lang = Window.partitionBy("__lang")
-    of = fine.select(
+    return fine.select(
         "__lang", "__source", "n",
         F.sum(F.when(F.col("n") < MIN_GROUP, F.col("n"))).over(per_lang).alias("rest"),
     ).select(
@@ -130,17 +131,13 @@ def _grouped(d: DataFrame) -> DataFrame:
         F.when(F.col("n") >= MIN_GROUP, F.to_json(F.struct("__lang", "__source")))
         .when(F.col("rest") >= MIN_GROUP, F.to_json(F.struct("__lang"))).otherwise("{}").alias("g"),
     )
-    of = written(of, "groups")
-    if of.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
-        of = F.broadcast(of)
-    return d.join(of, ["__lang", "__source"], "left")
 
 
-def _fit(x: DataFrame, half: float, steps: int, consistency: float) -> DataFrame:
+def _fit(x: DataFrame, half: float, steps: int, consistency: float, send) -> DataFrame:
     """g -> centre m0.. and Cholesky factor l00.. of the concentrated covariance."""
     k = range(len(DIMS))
     middle = x.groupBy("g").agg(*[F.percentile_approx(f"__x{i}", 0.5, 1000).alias(f"c{i}") for i in k])
-    spread = x.join(_small(middle), "g").groupBy("g").agg(
+    spread = x.join(send(written(middle, "medians")), "g").groupBy("g").agg(
         *[F.first(f"c{i}").alias(f"c{i}") for i in k],
         *[F.percentile_approx(F.abs(F.col(f"__x{i}") - F.col(f"c{i}")), 0.5, 1000).alias(f"s{i}") for i in k],
     )
@@ -149,9 +146,9 @@ def _fit(x: DataFrame, half: float, steps: int, consistency: float) -> DataFrame
         (F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + (SCALE * FLOOR[DIMS[i]]) ** 2) if i == j else zero).alias(f"l{i}{j}")
         for i in k for j in range(i + 1)])
     for _ in range(steps):
-        d = _distance(x.join(_small(est), "g"))
+        d = _distance(x.join(send(written(est, "estimates")), "g"))
         near = d.groupBy("g").agg(F.percentile_approx("distance", half, 10_000).alias("within"))
-        chosen = d.join(_small(near), "g").where("distance <= within")
+        chosen = d.join(send(written(near, "within")), "g").where("distance <= within")
         sums = chosen.groupBy("g").agg(
             F.count("*").alias("n"),
             *[F.sum(f"__x{i}").alias(f"t{i}") for i in k],
@@ -161,12 +158,6 @@ def _fit(x: DataFrame, half: float, steps: int, consistency: float) -> DataFrame
     return est
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A table of one row a group: sent to all executors only while its written size is proven small."""
-    df = written(df, "estimates")
-    return F.broadcast(df) if df.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else df
-
-
 def _cholesky(sums: DataFrame, consistency: float) -> DataFrame:
     k = range(len(DIMS))
     d = sums.select("g", "n", *[(F.col(f"t{i}") / F.col("n")).alias(f"m{i}") for i in k], *[f"p{i}{j}" for i in k for j in range(i + 1)])
