@@ -64,6 +64,17 @@ def synonym_pairs(terms: DataFrame, synonym: Column) -> DataFrame:
     return s.select(F.least("term", "s").alias("term"), F.greatest("term", "s").alias("counterpart")).distinct()
 
 
+def both_in(pairs: DataFrame, sample: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs whose ends are both in a sample of keys."""
+    keys = sample.select(F.col(sample.columns[0]).alias("__k")).distinct()
+    return pairs.join(keys, F.col(a) == F.col("__k"), "left_semi").join(keys, F.col(b) == F.col("__k"), "left_semi")
+
+
+def keys_of(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct keys over both columns of a pair table."""
+    return pairs.select(F.col(a).alias("key")).union(pairs.select(F.col(b).alias("key"))).distinct()
+
+
 def canonical(a: str, b: str) -> tuple[Column, Column]:
     return F.least(a, b), F.greatest(a, b)
 

@@ -92,6 +92,37 @@ def symmetric_matrix(spark, d):
     return m.select("vec_id_1", "vec_id_2", F.round("cosine_similarity", 6).alias("cosine_similarity"))
 
 
+def sampled_pair_metrics(spark, d):
+    """Metrics of pairs whose ends are both in a sample, averaged by label of the first end."""
+    e = A.table(spark, d, "embeddings")
+    p = pairs.both_in(_metrics(spark, d), sampling.sample_n(e, "vec_id", 50).select("vec_id"), "vec_id_1", "vec_id_2")
+    p = p.join(e.select(F.col("vec_id").alias("vec_id_1"), "label"), "vec_id_1")
+    return p.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("euclidean_distance"), 6).alias("mean_distance"))
+
+
+def similarity_by_bucket(spark, d):
+    """Calibration: similar pairs (one label) and dissimilar pairs (two labels), tagged and averaged."""
+    e = A.table(spark, d, "embeddings").select("vec_id", "label")
+    m = _metrics(spark, d).join(e.select(F.col("vec_id").alias("vec_id_1"), F.col("label").alias("l1")), "vec_id_1").join(e.select(F.col("vec_id").alias("vec_id_2"), F.col("label").alias("l2")), "vec_id_2")
+    tagged = m.where("l1 = l2").withColumn("pair_type", F.lit("similar")).unionByName(m.where("l1 <> l2").withColumn("pair_type", F.lit("dissimilar")))
+    return tagged.groupBy("pair_type").agg(F.count("*").alias("n"), F.round(F.avg("cosine_similarity"), 6).alias("cosine_similarity"))
+
+
+def neighbor_keys(spark, d):
+    """Distinct keys over both columns of the neighbour table."""
+    k = neighbors.nearest(A.table(spark, d, "embeddings"), "vec_id", "embedding", 2, "cosine")
+    return pairs.keys_of(k.select("vec_id", "neighbor"), "vec_id", "neighbor")
+
+
+def square_similarity(spark, d):
+    """The wide form over the labels: mean similarity of each pair of labels."""
+    e = A.table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"))
+    m = _metrics(spark, d).join(e.select(F.col("vec_id").alias("vec_id_1"), F.col("label").alias("a")), "vec_id_1").join(e.select(F.col("vec_id").alias("vec_id_2"), F.col("label").alias("b")), "vec_id_2")
+    both = m.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine_similarity").groupBy("a", "b").agg(F.round(F.avg("cosine_similarity"), 6).alias("s"))
+    w = pairs.square(both, "a", "b", "s", [str(x) for x in range(10)])
+    return w.select("a", *[F.col(str(x)).alias(f"l{x}") for x in range(10)])
+
+
 def llm_score_parse(spark, d):
     return A.table(spark, d, "conversations").select("conv_id", "turn", text.score_of(F.concat(F.col("text"), F.lit(" Score: "), F.col("turn").cast("string"), F.lit(".5/9"))).alias("score"))
 
@@ -147,7 +178,7 @@ def predict_stub(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    idf_registry, greedy_match_pairs, greedy_match_score, greedy_match_input_order, spearman_metrics, regression_overlay, metric_histogram, kde_by_model, symmetric_matrix,
+    idf_registry, greedy_match_pairs, greedy_match_score, greedy_match_input_order, spearman_metrics, regression_overlay, metric_histogram, kde_by_model, symmetric_matrix, sampled_pair_metrics, similarity_by_bucket, neighbor_keys, square_similarity,
     llm_score_parse, response_clean, prompt_text, neighbor_history, embed_stub, gru_stub, relevance_stub, predict_stub)}
 
 LONG = f"""{VISITS}, {ITEMS}, pat AS (SELECT patient_id FROM visits GROUP BY 1 HAVING count(*) > {N}),
@@ -186,6 +217,14 @@ g AS (SELECT label, n, h, i, lo - 3 * h + i * (hi - lo + 6 * h) / 49 AS gx FROM
 SELECT g.label, CAST(i AS INT) AS i, round(gx, 6) AS x, round(sum(exp(-0.5 * pow((gx - x.x) / h, 2))) / (n * h * sqrt(2 * pi())), 6) AS density FROM g JOIN x ON g.label = x.label GROUP BY g.label, i, gx, n, h""",
     "symmetric_matrix": f"""WITH {VEC}, s AS (SELECT * FROM v ORDER BY md5(vec_id || '|42'), vec_id LIMIT 50)
 SELECT a.vec_id AS vec_id_1, b.vec_id AS vec_id_2, CASE WHEN a.vec_id = b.vec_id THEN 1 ELSE round({COS}, 6) END AS cosine_similarity FROM s a, s b""",
+    "sampled_pair_metrics": f"""WITH {VEC}, s AS (SELECT * FROM v ORDER BY md5(vec_id || '|42'), vec_id LIMIT 50)
+SELECT a.label, count(*) AS n, round(avg(list_distance(a.e, b.e)), 6) AS mean_distance FROM s a JOIN s b ON a.vec_id < b.vec_id GROUP BY 1""",
+    "similarity_by_bucket": f"""WITH {VEC} SELECT CASE WHEN a.label = b.label THEN 'similar' ELSE 'dissimilar' END AS pair_type, count(*) AS n, round(avg({COS}), 6) AS cosine_similarity
+FROM v a JOIN v b ON a.vec_id < b.vec_id GROUP BY 1""",
+    "neighbor_keys": f"""WITH {VEC}, k AS (SELECT a.vec_id, b.vec_id AS neighbor, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1 - {COS}, 9), b.vec_id) AS r FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+SELECT vec_id AS key FROM k WHERE r <= 2 UNION SELECT neighbor FROM k WHERE r <= 2""",
+    "square_similarity": f"""WITH {VEC}, m AS (SELECT least(a.label, b.label)::VARCHAR AS a, greatest(a.label, b.label)::VARCHAR AS b, round(avg({COS}), 6) AS s FROM v a JOIN v b ON a.vec_id < b.vec_id GROUP BY 1, 2)
+SELECT a, {", ".join(f"max(s) FILTER (b = '{x}') AS l{x}" for x in range(10))} FROM m GROUP BY 1""",
     "llm_score_parse": """SELECT conv_id, turn, CASE WHEN starts_with(text, 'ERROR:') THEN NULL ELSE CAST(regexp_extract(text || ' Score: ' || turn || '.5/9', '\\d(?:\\.\\d+)?', 0) AS DOUBLE) END AS score FROM conversations""",
     "response_clean": """SELECT conv_id, turn, md5(CASE WHEN turn % 2 = 1 THEN 'turn ' || turn ELSE
   trim(regexp_replace(regexp_replace(' ' || text || ' [aside]  x', '\\s*\\[[^\\n]*?\\]\\s*', ' ', 'g'), '\\s+', ' ', 'g')) END) AS digest FROM conversations""",

@@ -53,6 +53,13 @@ def lonely_terms(spark, d):
     return pairs.lonely(A.terms(spark, d), pairs.pairs_by_code(A.terms(spark, d)))
 
 
+def synonym_pairs(spark, d):
+    """Lonely terms paired with a synonym; the stand-in dictionary knows each term with its words turned about."""
+    alone = pairs.lonely(A.terms(spark, d), pairs.pairs_by_code(A.terms(spark, d)))
+    entry = F.concat(F.lit('[{"meanings":[{"definitions":[{"synonyms":["'), F.array_join(F.reverse(F.slice(F.split("term", " "), 1, 3)), " "), F.lit('"]}]}]}]'))
+    return pairs.synonym_pairs(alone, text.synonym_of(entry, F.col("term")))
+
+
 def term_vocab(spark, d):
     return A.items(spark, d).select("category", text.clean_term(F.col("name")).alias("term")).where("term <> ''").distinct()
 
@@ -134,7 +141,7 @@ def pool_by_label(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    clean_term_a, clean_term_b, clean_documents, code_pairs, rxnorm_map_join, medication_pairs, lonely_terms, term_vocab, pair_type_counts, group_examples, seeded_sample, similar_pairs,
+    clean_term_a, clean_term_b, clean_documents, code_pairs, rxnorm_map_join, medication_pairs, lonely_terms, synonym_pairs, term_vocab, pair_type_counts, group_examples, seeded_sample, similar_pairs,
     dissimilar_pairs, pairwise_cosine, pairwise_euclidean, knn_topk, knn_euclidean, baseline_similarity, baseline_closed_form, normalized_similarity, pool_by_label)}
 
 VEC = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
@@ -170,6 +177,8 @@ x AS (SELECT DISTINCT term, rx FROM terms JOIN m USING (code)), p AS (SELECT DIS
 l AS (SELECT DISTINCT term, code FROM terms WHERE term NOT IN (SELECT term FROM p UNION SELECT counterpart FROM p))
 SELECT * FROM p UNION SELECT a.term, b.term FROM l a JOIN l b ON a.code = b.code AND a.term < b.term""",
     "lonely_terms": f"WITH {TERMS}, {PAIRS} SELECT term FROM terms EXCEPT (SELECT term FROM pairs UNION SELECT counterpart FROM pairs)",
+    "synonym_pairs": f"""WITH {TERMS}, {PAIRS}, l AS (SELECT term FROM terms EXCEPT (SELECT term FROM pairs UNION SELECT counterpart FROM pairs)),
+s AS (SELECT term, array_to_string(list_reverse(string_split(term, ' ')[1:3]), ' ') AS s FROM l) SELECT DISTINCT least(term, s) AS term, greatest(term, s) AS counterpart FROM s WHERE s <> term AND s <> ''""",
     "term_vocab": f"WITH {ITEMS} SELECT DISTINCT category, name AS term FROM items",
     "pair_type_counts": f"""WITH {TERMS}, {PAIRS} SELECT 'medication' AS category, CASE WHEN array_to_string(string_split(term, ' ')[1:2], ' ') = array_to_string(string_split(counterpart, ' ')[1:2], ' ') THEN 'same_name' ELSE 'code' END AS type, count(*) AS n FROM pairs GROUP BY 1, 2""",
     "group_examples": "SELECT p_brand, key FROM (SELECT p_brand, p_partkey AS key, row_number() OVER (PARTITION BY p_brand ORDER BY md5(p_partkey || '|42'), p_partkey) AS r FROM part) WHERE r <= 5",
