@@ -133,7 +133,7 @@ def test_line_dedup_finds_edited_lines_and_no_others(spark):
 
 
 def test_line_dedup_links_variants_of_a_hot_line(spark, monkeypatch):
-    monkeypatch.setattr(lines, "MOST_WORDS", 300)  # the common line takes the path of hot lines
+    monkeypatch.setattr(lines, "MOST_CHARS", 3000)  # the common line takes the path of hot lines
     rng = np.random.default_rng(4)
     base = prose(rng, 100, 3000)
     ws = base.split()
