@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import prepare_workers
+from .common import prepare_workers, written
 
 #: Lengths in a block of the two-level suffix sums.
 BLOCK = 1024
@@ -45,7 +45,7 @@ def summarise(hist: DataFrame) -> DataFrame:
     rows with a null length or count are ignored; no rows give no rows.
     """
     h = hist.where("n_tokens IS NOT NULL AND docs IS NOT NULL").groupBy("n_tokens").agg(F.sum("docs").alias("docs"))
-    h = h.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    h = written(h, "lengths").withColumn("block", F.floor(F.col("n_tokens") / BLOCK))  # it is read twice, and costs much to make
     blocks = h.groupBy("block").agg(F.sum("docs").alias("bd"), F.sum(F.col("docs") * F.col("n_tokens")).alias("bt"))
     over, later = Window.orderBy(F.desc("block")), Window.partitionBy("block").orderBy(F.desc("n_tokens"))
     above = over.rowsBetween(Window.unboundedPreceding, -1)
