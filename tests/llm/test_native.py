@@ -169,3 +169,17 @@ def test_mixing_meets_targets(spark):
 def test_mixing_edges(spark):
     d = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b", "en", "s", 3)], DOCS).withColumn("topic", F.lit(0))
     assert mixing.mix(d).count() == 3 and mixing.mix(d.limit(0)).count() == 0
+
+
+def test_line_dedup_finds_lines_with_one_changed_letter(spark):
+    rng = np.random.default_rng(9)
+    base = [prose(rng, n, 8000) for n in (6, 8, 12, 20, 40) for _ in range(40)]  # an edit of a space leaves five words
+    edited = []
+    for k, t in enumerate(base):
+        at = int(rng.integers(0, len(t)))
+        edited.append([t[:at] + "q" + t[at + 1:], t[:at] + "q" + t[at:], t[:at] + t[at + 1:]][k % 3])
+    texts = base + edited
+    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, texts)).collect()}
+    assert all(out[i] for i in range(200))
+    missed = [i for i in range(200, 400) if out[i]]
+    assert not missed
