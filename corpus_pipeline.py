@@ -24,7 +24,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document of which only blanks are left goes; its lines are all elsewhere.
     """
-    out = lines.dedup_lines(docs).where(~((F.col("n_removed") > 0) & (F.trim("text") == "")) | F.col("text").isNull())
+    out = lines.dedup_lines(docs, exact_words=1).where(~((F.col("n_removed") > 0) & (F.trim("text") == "")) | F.col("text").isNull())
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -45,3 +45,11 @@ def test_near_stage_keeps_one_of_a_group(spark):
     d = spark.createDataFrame([(5, t, "en", "s", 0), (2, near, "en", "s", 0), (9, prose(rng, 200, 5000), "en", "s", 0)], DOCS)
     assert {r["doc_id"] for r in corpus_pipeline.near_stage(spark, d, "").collect()} == {2, 9}
     assert corpus_pipeline.near_stage(spark, d.where(F.lit(False)), "").count() == 0
+
+
+def test_line_stage_leaves_no_stubs_of_exact_copies(spark):
+    rng = np.random.default_rng(13)
+    t = prose(rng, 60, 5000) + "\nLes.\n" + prose(rng, 40, 5000)
+    d = spark.createDataFrame([(1, t, "fr", "s", 0), (2, t, "fr", "s", 0), (3, "les\n" + prose(rng, 50, 5000), "fr", "s", 0)], DOCS)
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, d, "").collect()}
+    assert set(out) == {1, 3} and out[1] == t and "les" not in out[3].split("\n")

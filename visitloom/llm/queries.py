@@ -50,7 +50,7 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+    return lines.dedup_lines(docs, exact_words=1).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
