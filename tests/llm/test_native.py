@@ -183,3 +183,16 @@ def test_line_dedup_finds_lines_with_one_changed_letter(spark):
     assert all(out[i] for i in range(200))
     missed = [i for i in range(200, 400) if out[i]]
     assert not missed
+
+
+def test_line_dedup_compares_long_lines_by_characters(spark):
+    rng = np.random.default_rng(10)
+    base = [prose(rng, 35, 8000) for _ in range(20)]
+    typos = []
+    for t in base:
+        ws = t.split()
+        for k in (3, 9, 20, 30, 33):
+            ws[k] = "q" + ws[k][1:]
+        typos.append(" ".join(ws))
+    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, base + typos)).collect()}
+    assert all(out[i] for i in range(20)) and not any(out[i] for i in range(20, 40))
