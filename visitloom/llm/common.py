@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -66,6 +67,12 @@ def drop_written(df: DataFrame) -> None:
         _remove(spark, folder)
 
 
+def drop_shuffles(df: DataFrame) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to; it does so only when the driver collects its garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for each row."""
     return F.element_at(F.transform(F.array(value), body), 1)
