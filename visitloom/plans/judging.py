@@ -148,7 +148,13 @@ def neighbor_history(spark, d):
 
 
 def _windows(spark, d):
-    return V.windows(A.sentences(spark, d), F.col("sentence"), N).join(_patients(spark, d), "patient_id", "left_semi").where(F.col("end_idx") == N - 1)
+    """Every window of every patient."""
+    return V.windows(A.sentences(spark, d), F.col("sentence"), N)
+
+
+def _first_windows(spark, d):
+    """The window before the visit to predict, of patients who have that visit."""
+    return _windows(spark, d).join(_patients(spark, d), "patient_id", "left_semi").where(F.col("end_idx") == N - 1)
 
 
 def embed_stub(spark, d):
@@ -159,20 +165,20 @@ def embed_stub(spark, d):
 def gru_stub(spark, d):
     v = A.visit_names(spark, d)
     t = v.withColumn("terms", text.visit_terms(F.col("diagnoses"), F.col("medications"), F.col("treatments")))
-    w = V.windows(t, F.col("terms"), N).where(F.col("end_idx") == N - 1)
+    w = V.windows(t, F.col("terms"), N)
     e = encoders.encode_histories(w)
     return e.select("patient_id", "visit_idx", F.round(VF.norm(F.col("vec")), 6).alias("norm"), F.size("vec").alias("size"))
 
 
 def relevance_stub(spark, d):
-    n = models.complete(_windows(spark, d).withColumn("prompt", prompts.narrative(F.col("window"), N - 1)), "prompt").select("patient_id", F.col("reply").alias("narrative"))
+    n = models.complete(_first_windows(spark, d).withColumn("prompt", prompts.narrative(F.col("window"), N - 1)), "prompt").select("patient_id", F.col("reply").alias("narrative"))
     k = neighbors.nearest(A.table(spark, d, "embeddings"), "vec_id", "embedding", 1).select(F.col("vec_id").cast("string").alias("patient_id"), F.col("neighbor").cast("string").alias("n"))
     p = k.join(n, "patient_id").join(n.select(F.col("patient_id").alias("n"), F.col("narrative").alias("other")), "n")
     return models.relevance(p, "narrative", "other").select("patient_id", "n", "llm_relevance_score")
 
 
 def predict_stub(spark, d):
-    n = models.complete(_windows(spark, d).withColumn("prompt", prompts.narrative(F.col("window"), N - 1)), "prompt").select("patient_id", F.col("reply").alias("narrative"))
+    n = models.complete(_first_windows(spark, d).withColumn("prompt", prompts.narrative(F.col("window"), N - 1)), "prompt").select("patient_id", F.col("reply").alias("narrative"))
     p = models.predict(n.withColumn("cases", F.array().cast("array<string>")), "narrative", "cases")
     return p.select("patient_id", F.array_join("predicted_visit.diagnoses", ",").alias("diagnoses"), F.array_join("predicted_visit.medications", ",").alias("medications"), "parse_error")
 
