@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import RunConfig
 from ..functions import prompts, text
 from ..functions import vectors as VF
 from ..operators import encoders, matching, models, neighbors, pairs, sampling, stats
@@ -170,16 +171,29 @@ def gru_stub(spark, d):
     return e.select("patient_id", "visit_idx", F.round(VF.norm(F.col("vec")), 6).alias("norm"), F.size("vec").alias("size"))
 
 
+def _narratives(spark, d):
+    """patient_id, narrative of patients with a visit to predict."""
+    asked = _first_windows(spark, d).withColumn("prompt", prompts.narrative(F.col("window"), N - 1))
+    return models.complete(asked, "prompt").select("patient_id", F.col("reply").alias("narrative"))
+
+
+def _neighbor_narratives(spark, d):
+    """patient_id, rank, neighbor_id, other: narratives of the configured number of neighbours, up to their matched visits."""
+    k = neighbors.nearest(A.table(spark, d, "embeddings"), "vec_id", "embedding", RunConfig().num_neighbors)
+    n = k.select(F.col("vec_id").cast("string").alias("patient_id"), "rank", F.col("neighbor").cast("string").alias("neighbor_id"), F.lit(N - 1).alias("neighbor_vidx"))
+    h = V.neighbor_histories(n, A.sentences(spark, d), F.col("sentence")).withColumn("prompt", prompts.narrative(F.col("history"), N - 1))
+    return models.complete(h, "prompt").select("patient_id", "rank", "neighbor_id", F.col("reply").alias("other"))
+
+
 def relevance_stub(spark, d):
-    n = models.complete(_first_windows(spark, d).withColumn("prompt", prompts.narrative(F.col("window"), N - 1)), "prompt").select("patient_id", F.col("reply").alias("narrative"))
-    k = neighbors.nearest(A.table(spark, d, "embeddings"), "vec_id", "embedding", 1).select(F.col("vec_id").cast("string").alias("patient_id"), F.col("neighbor").cast("string").alias("n"))
-    p = k.join(n, "patient_id").join(n.select(F.col("patient_id").alias("n"), F.col("narrative").alias("other")), "n")
-    return models.relevance(p, "narrative", "other").select("patient_id", "n", "llm_relevance_score")
+    p = _neighbor_narratives(spark, d).join(_narratives(spark, d), "patient_id")
+    return models.relevance(p, "narrative", "other").select("patient_id", F.col("neighbor_id").alias("n"), "llm_relevance_score")
 
 
 def predict_stub(spark, d):
-    n = models.complete(_first_windows(spark, d).withColumn("prompt", prompts.narrative(F.col("window"), N - 1)), "prompt").select("patient_id", F.col("reply").alias("narrative"))
-    p = models.predict(n.withColumn("cases", F.array().cast("array<string>")), "narrative", "cases")
+    block = F.struct("rank", prompts.neighbor_block(F.col("neighbor_id"), F.col("other")).alias("block"))
+    cases = _neighbor_narratives(spark, d).groupBy("patient_id").agg(F.sort_array(F.collect_list(block)).getField("block").alias("cases"))
+    p = models.predict(_narratives(spark, d).join(cases, "patient_id", "left"), "narrative", "cases")
     return p.select("patient_id", F.array_join("predicted_visit.diagnoses", ",").alias("diagnoses"), F.array_join("predicted_visit.medications", ",").alias("medications"), "parse_error")
 
 
