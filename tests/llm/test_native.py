@@ -196,3 +196,10 @@ def test_line_dedup_compares_long_lines_by_characters(spark):
         typos.append(" ".join(ws))
     out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, base + typos)).collect()}
     assert all(out[i] for i in range(20)) and not any(out[i] for i in range(20, 40))
+
+
+def test_line_dedup_finds_near_copies_of_very_long_lines(spark, monkeypatch):
+    monkeypatch.setattr(lines, "MOST_CHARS", 3000)
+    t = prose(np.random.default_rng(14), 1000, 8000)
+    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, [t, t[:4000] + "q" + t[4001:]])).collect()}
+    assert out == {0: t, 1: ""}
