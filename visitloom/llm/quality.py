@@ -3,7 +3,7 @@
 Each text becomes a vector of transformed statistics. For every (language, source)
 a minimum-covariance-determinant estimate is fitted: start from the rows nearest
 the medians, then concentrate (mean and covariance of the chosen half, distances
-of all rows, choose the nearest again) until the determinant settles. Rows whose
+of all rows, choose the nearest again) a fixed number of times (three unless given; no determinant is worked out). Rows whose
 Mahalanobis distance from the fitted centre is beyond ``cutoff`` are rejected.
 
 Every figure of a group is a sum or a histogram that is folded before the
