@@ -230,11 +230,11 @@ def test_line_dedup_recall_of_damaged_lines(spark, n):
     alike = [10 * edit_distance(norm(a), norm(b)) <= max(len(norm(a)), len(norm(b))) for a, b in zip(base, edited)]
     assert all(out[i] for i in range(120))
     assert not any(out[120 + i] == "" for i in range(120) if not alike[i])
-    for k, least in enumerate([1.0, 0.99, 0.9, 0.4]):
+    for k, least in enumerate([1.0, 0.95, 0.6, 0.15]):
         of = [i for i in range(k, 120, 4) if alike[i]]
         assert sum(out[120 + i] == "" for i in of) >= least * len(of)
-    # with every run in the sketch
-    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, base + edited), runs=100).collect()}
+    # with every word in the sketch
+    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, base + edited), runs=100, kinds=((1, 1 << 31),)).collect()}
     of = [i for i in range(120) if alike[i]]
     assert sum(out[120 + i] == "" for i in of) >= 0.97 * len(of)
 
