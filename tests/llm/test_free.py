@@ -160,6 +160,15 @@ def test_near_duplicates_of_nothing(spark):
     assert len(out) == 4 and sorted((r["doc_id"] or 0, r["kept"]) for r in out) == [(0, False), (0, True), (3, True), (3, True)]
 
 
+def test_near_duplicates_with_null_ids_keep_their_links(spark):
+    rng = np.random.default_rng(30)
+    ws = prose(rng, 200, 4000).split()
+    near = " ".join([*ws[:50], "edit", *ws[51:]])
+    d = spark.createDataFrame([(None, " ".join(ws)), (5, near), (None, prose(rng, 90, 4000)), (6, prose(rng, 90, 4000))], "doc_id long, text string")
+    out = sorted(((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in minhash.near_duplicates(d, width=2).collect()), key=str)
+    assert out == sorted([(0, 5, False), (5, 5, True), (0, None, True), (6, 6, True)], key=str)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
 <header><a href=/>Site</a></header><nav><ul><li><a href=/a>Menu</a></li></ul></nav><!-- ad <p>x</p> --><div class="ad-slot">Buy now</div>
 <div class='cookie-notice'><p>We use cookies</p></div><article><header><h1>Title &amp; more</h1></header><p>First   para&#233; with a <a href=x>link</a> &lt; 3

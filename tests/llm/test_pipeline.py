@@ -53,3 +53,29 @@ def test_line_stage_leaves_no_stubs_of_exact_copies(spark):
     d = spark.createDataFrame([(1, t, "fr", "s", 0), (2, t, "fr", "s", 0), (3, "les\n" + prose(rng, 50, 5000), "fr", "s", 0)], DOCS)
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, d, "").collect()}
     assert set(out) == {1, 3} and out[1] == t and "les" not in out[3].split("\n")
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    rng = np.random.default_rng(20)
+    rows = [(i, prose(rng, 120, 5000), "en", "s", 0) for i in range(60)]
+    extra = {c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("topic", "n_tokens", "n_words", "distance", "kept", "n_lines", "n_removed", "probability", "fp", "a b")}
+    d = spark.createDataFrame(rows, DOCS).withColumns(extra)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, d, "")
+        assert out.columns == d.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in extra)
+
+
+def test_near_stage_with_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(21)
+    t, u, v = (prose(rng, 200, 5000) for _ in range(3))
+    rows = [(2, t), (5, t), (5, u), (None, t), (None, v), (7, None), (8, ""), (9, u + " end"), (3, v), (3, v)]
+    d = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in rows], DOCS)
+    got = sorted((r["doc_id"], {t: "t", u: "u", v: "v"}.get(r["text"], r["text"])) for r in corpus_pipeline.near_stage(spark, d, "").collect())
+    assert got == [(2, "t"), (3, "v"), (5, "u"), (7, None), (8, "")]
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

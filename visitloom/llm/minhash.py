@@ -184,16 +184,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     sig = written(d.mapInArrow(_signatures(width), f"doc_id {kind}, n_shingles long, fp binary, bands array<long>"), "signatures")
     classes = written(
-        sig.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+        sig.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     keyed = classes.select("fp", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(keyed.join(shared, "key"), "buckets")
     met = members.groupBy("fp").agg(F.sum("size").alias("met"))
     members = written(members.drop("size").join(met, "fp"), "members")
-    wanted = members.select("fp").distinct().join(classes.select("fp", "least"), "fp").select(F.col("least").alias("doc_id")).distinct()
-    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    sets = written(d.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets(width), "fp binary, hashes binary").dropDuplicates(["fp"]), "sets")
+    # null ids too: all texts without an id are read again if one of them is in a bucket
+    wanted = members.select("fp").distinct().join(classes.select("fp", "least"), "fp").select(F.col("least").alias("wanted")).distinct()
+    wanted = _bounded(wanted)
+    sets = d.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+    sets = written(sets.mapInArrow(_sets(width), "fp binary, hashes binary").dropDuplicates(["fp"]), "sets")
     comps = written(members.select("fp", F.col("fp").alias("component")).distinct(), "components")
     tested = None
     for turn in range(pivots + 1):
@@ -216,14 +217,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
             pivot = live.groupBy("key").agg(F.max(F.struct("met", "fp")).alias("p")).select("key", F.col("p.fp").alias("fp"))
             members = live.drop("component").join(pivot, ["key", "fp"], "left_anti")
             members = written(members, "members")
-    of = comps.join(classes.select("fp", "least"), "fp")
-    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = classes.select("fp", "least").join(comps, "fp", "left").join(least, "component", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # only classes of several rows and components of several classes have another id than their row's own
+    linked = comps.where("fp <> component").select("component").distinct()
+    linked = written(comps.join(_bounded(written(linked, "linked")), "component", "left_semi").join(classes.select("fp", "least"), "fp"), "linked")
+    ids = written(linked.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
+    linked = linked.join(_bounded(ids), "component").select("fp", "component_id")
+    alone = classes.where("times > 1").select("fp", F.col("least").alias("component_id")).join(linked.select("fp"), "fp", "left_anti")
+    of = _bounded(written(linked.unionByName(alone), "named"))
     return sig.select("doc_id", "n_shingles", "fp").join(of, "fp", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _bounded(t: DataFrame) -> DataFrame:
+    return F.broadcast(t) if t.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else t
+
+
 def _spanning(members: DataFrame, comps: DataFrame) -> DataFrame:
     """Members with their component, of buckets that span several."""
     live = members.join(comps, "fp")
@@ -319,5 +328,5 @@ def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     at = comps.select(F.col("fp").alias("a"), F.col("component").alias("u"))
     to = comps.select(F.col("fp").alias("b"), F.col("component").alias("v"))
     roots = connected_components(links.join(at, "a").join(to, "b").select("u", "v"))
-    roots = roots.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    roots = _bounded(roots.select(F.col("node").alias("component"), F.col("component").alias("root")))
     return comps.join(roots, "component", "left").select("fp", F.coalesce("root", "component").alias("component"))
