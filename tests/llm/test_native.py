@@ -245,3 +245,55 @@ def test_line_dedup_tells_lines_of_one_hash_apart(spark, monkeypatch):
     texts = [prose(rng, 12, 8000) for _ in range(40)]
     out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, texts + texts[:10])).collect()}
     assert [out[i] for i in range(40)] == texts and not any(out[i] for i in range(40, 50))
+
+
+def brute_mcd(x, half=0.75):
+    """The same estimate of one group in numpy: three starts, two steps each, then the best until its determinant stands."""
+    floor = np.array([quality.FLOOR[n] * 1000 for n in quality.DIMS]) ** 2
+    scale, n, k = quality.consistency(half, x.shape[1]), len(x), x.shape[1]
+    low = lambda v: np.floor(np.sort(v / quality.GRAIN, axis=0)[int(np.ceil(n / 2)) - 1]) * quality.GRAIN
+    c = low(x)
+    s = np.sqrt((1.4826 * low(np.abs(x - c))) ** 2 + floor)
+    z = (x - c) / s
+    scores = [None, np.tanh(z), z * np.sqrt(k / np.maximum((z * z).sum(1, keepdims=True), 1e-6))]
+    covs = [np.diag(s * s) if t is None else (t.T @ t / n) * np.outer(s, s) for t in scores]
+    dist = lambda m, cov: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
+
+    def step(m, cov):
+        grade = np.floor(np.log2(dist(m, cov) + 1) * quality.GRADES)
+        near = x[grade <= np.sort(grade)[int(np.ceil(half * n)) - 1]]
+        return near.mean(0), scale * np.cov(near.T, bias=True) + np.diag(floor)
+
+    size = lambda e: np.linalg.slogdet(e[1])[1] / 2
+    best = min((step(*step(c, cov + np.diag(floor))) for cov in covs), key=size)
+    while size(nxt := step(*best)) < size(best) - 1e-7:
+        best = nxt
+    return dist(*best)
+
+
+def test_quality_distances_match_numpy(spark):
+    rng = np.random.default_rng(31)
+    texts = []
+    for k, n in enumerate(rng.integers(60, 300, 240)):
+        t = prose(rng, int(n), 3000).split()
+        t = [w.upper() if rng.random() < 0.02 * (k % 5) else w[: int(rng.integers(3, 8))] for w in t]
+        texts.append(" ".join(w + "#" * (rng.random() < 0.01 * (k % 7)) for w in t) if k % 12 else " ".join(w.upper() + "$$" for w in t))
+    rows = [(i, t, ["en", "de"][i % 2], None, 0) for i, t in enumerate(texts)]
+    out = quality.judge(spark.createDataFrame(rows, DOCS)).toPandas().sort_values("doc_id")
+    assert not out.base_failed.any()
+    raw = [out[c].to_numpy(float) for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_upper")]
+    n, chars, symbols, repeat, upper = raw
+    x = np.stack([np.log(n), chars / n, np.log(1 + 100 * symbols / n), np.sqrt(np.minimum(repeat / n, 1)), np.sqrt(upper / chars)], axis=1)
+    x = np.floor(np.abs(x) * 1000 + 0.5) * np.sign(x)
+    want = np.empty(len(out))
+    for lang in ("en", "de"):
+        at = (out.lang == lang).to_numpy()
+        want[at] = brute_mcd(x[at])
+    assert np.allclose(out.distance, want, rtol=1e-6)
+    assert (out.kept.to_numpy() == (want <= quality.chi_square_quantile(1 - 1e-7, 5))).all() and 0 < out.kept.sum() < 240
+
+
+def test_chi_square():
+    assert quality.chi_square_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-4)
+    assert quality.chi_square_quantile(0.999, 1) == pytest.approx(10.8276, abs=1e-4)
+    assert quality.consistency(0.75, 5) == pytest.approx(1.41, abs=0.01)

@@ -1,19 +1,22 @@
 """Quality rules: base limits, then robust multivariate outliers per language and source.
 
 Each text becomes a vector of transformed statistics. For every (language, source)
-a minimum-covariance-determinant estimate is fitted: start from the rows nearest
-the medians, then concentrate (mean and covariance of the chosen half, distances
-of all rows, choose the nearest again) a fixed number of times (three unless given; no determinant is worked out). Rows whose
-Mahalanobis distance from the fitted centre is beyond ``cutoff`` are rejected.
+a minimum-covariance-determinant estimate is fitted from three deterministic starts (the medians with
+the median deviations, with the covariance of squashed and with that of signed scores). From each start, concentrate: mean and covariance of the
+chosen share of rows, distances of all rows, choose the nearest again. After two steps the start of least determinant
+goes on until its determinant falls no further. Rows whose squared Mahalanobis distance from the fitted centre is beyond a
+chi-square quantile are rejected.
 
 Every figure of a group is a sum or a histogram that is folded before the
 shuffle, so a group with a third of all rows costs no more than any other; no
-group is ever gathered. The statistics are kept in whole thousandths and summed as integers,
+group is ever gathered. The statistics are kept in whole thousandths, and everything is counted or summed as integers,
 so a retried task gives the same estimate.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,10 @@ FLOOR = {"length": 0.8, "word": 0.3, "symbol": 0.5, "repeat": 0.15, "upper": 0.1
 SCALE = 1000
 #: Groups with fewer rows are fitted together with all others of their language.
 MIN_GROUP = 50
+#: Statistics are counted in steps of this many thousandths for medians, between these ends.
+GRAIN, ENDS = 5, 30_000
+#: Distances are counted in so many steps each time that they double.
+GRADES = 256
 #: Group estimates up to this many are sent to all executors; more are joined by a shuffle.
 BROADCAST_GROUPS = 10_000
 
@@ -87,7 +94,7 @@ def vector(s=F.col) -> dict[str, Column]:
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None,
-          half: float = 0.75, steps: int = 3, cutoff: float = 40.0, consistency: float = 1.41) -> DataFrame:
+          half: float = 0.75, steps: int = 40, level: float = 1 - 1e-7) -> DataFrame:
     """``carry`` (default: all columns) with the base statistics, base_failed, distance (squared) and kept.
 
     One row per input row; repeated rows are judged alike. base_failed: fewer
@@ -96,10 +103,12 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     blank texts are among them. Null languages and sources count as the empty string. Groups under
     ``MIN_GROUP`` rows share one estimate per language, those of too small
     languages one for all. An empty table gives an empty result. ``half`` is the share of rows
-    that a fit holds, ``consistency`` scales its covariance to the whole of a normal
-    group, ``cutoff`` is the squared distance beyond which a row is rejected. Columns of
+    that a fit holds (of rows as far away as the last, all); its covariance is scaled to that of the whole of a normal
+    group. A fit takes at most ``steps`` steps, far more than it needs. ``level`` is the share of a normal group within the cutoff: ordinary texts
+    spread wider than that, so it is near 1. Columns of
     ``docs`` with the names of results are replaced.
     """
+    cutoff = chi_square_quantile(level, len(DIMS))
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "base_failed", "distance", "kept"]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in own]
     d = base_statistics(docs.select(*{c: None for c in [*carry, text, lang, source]}), text)
@@ -111,7 +120,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     # every table of the fit has at most a row for each of these
     send = F.broadcast if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else lambda t: t
     rows = d.join(send(groups), ["__lang", "__source"], "left")
-    fit = written(_fit(written(rows.where("NOT base_failed").select("g", *parts), "vectors"), half, steps, consistency, send), "estimates")
+    fit = written(_fit(written(rows.where("NOT base_failed").select("g", *parts), "vectors"), half, steps, send), "estimates")
     scored = _distance(rows.join(send(fit), "g", "left"))
     return scored.select(
         *carry, *own[:7], "distance",
@@ -133,37 +142,109 @@ def _groups(d: DataFrame) -> DataFrame:
     )
 
 
-def _fit(x: DataFrame, half: float, steps: int, consistency: float, send) -> DataFrame:
-    """g -> centre m0.. and Cholesky factor l00.. of the concentrated covariance."""
+def chi_square(x: float, k: float) -> float:
+    """Distribution function of chi-square with ``k`` degrees of freedom, by the series of the incomplete gamma function."""
+    if x <= 0:
+        return 0.0
+    a, h, term, total, n = k / 2, x / 2, 2 / k, 2 / k, 0
+    while term > total * 1e-17:
+        n += 1
+        term *= h / (a + n)
+        total += term
+    return total * math.exp(a * math.log(h) - h - math.lgamma(a))
+
+
+def chi_square_quantile(level: float, k: float) -> float:
+    lo, hi = 0.0, 1000.0
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi_square(mid, k) < level else (lo, mid)
+    return hi
+
+
+def consistency(half: float, k: int) -> float:
+    """What the covariance of the nearest ``half`` of a normal group is to be scaled by."""
+    return half / chi_square(chi_square_quantile(half, k), k + 2)
+
+
+def _quantile(t: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
+    """The least ``value`` (whole) that at least ``share`` of the rows of a key do not exceed, from the counts of values."""
+    counts = t.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    at = Window.partitionBy(*keys)
+    counts = counts.select(*keys, value, F.sum("n").over(at.orderBy(value)).alias("upto"), F.sum("n").over(at).alias("all"))
+    return counts.where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy(*keys).agg(F.min(value).alias(name))
+
+
+def _starts(x: DataFrame, send) -> DataFrame:
+    """g, start, centre m0.. and Cholesky factor l00.. of the three starts of each group."""
     k = range(len(DIMS))
-    middle = x.groupBy("g").agg(*[F.percentile_approx(f"__x{i}", 0.5, 1000).alias(f"c{i}") for i in k])
-    spread = x.join(send(written(middle, "medians")), "g").groupBy("g").agg(
-        *[F.first(f"c{i}").alias(f"c{i}") for i in k],
-        *[F.percentile_approx(F.abs(F.col(f"__x{i}") - F.col(f"c{i}")), 0.5, 1000).alias(f"s{i}") for i in k],
+
+    def medians(t, values):
+        parts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.least(F.greatest(v, F.lit(-ENDS)), F.lit(ENDS)) / GRAIN).alias("v")) for i, v in enumerate(values)])).alias("p")
+        m = _quantile(t.select("g", parts).select("g", "p.i", "p.v"), ["g", "i"], "v", 0.5, "m")
+        return m.groupBy("g").agg(*[F.max(F.when(F.col("i") == i, (F.col("m") * GRAIN).cast("bigint"))).alias(f"c{i}") for i in k])
+
+    middle = written(medians(x, [F.col(f"__x{i}") for i in k]), "medians")
+    away = medians(x.join(send(middle), "g"), [F.abs(F.col(f"__x{i}") - F.col(f"c{i}")) for i in k])
+    away = away.select("g", *[F.sqrt(F.pow(1.4826 * F.col(f"c{i}"), 2) + (SCALE * FLOOR[DIMS[i]]) ** 2).alias(f"s{i}") for i in k])
+    centre = written(middle.join(away, "g"), "centres")
+    d = x.join(send(centre), "g").select("g", *[((F.col(f"__x{i}") - F.col(f"c{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i in k])
+    d = d.withColumn("r", F.greatest(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in k), F.lit(0.0)), F.lit(1e-6)))
+    million = lambda v: F.round(v * 1e6).cast("bigint")
+    sums = d.groupBy("g").agg(F.count("*").alias("n"), *[a for i in k for j in range(i + 1) for a in (
+        F.sum(million(F.tanh(f"z{i}") * F.tanh(f"z{j}"))).alias(f"t{i}{j}"), F.sum(million(F.col(f"z{i}") * F.col(f"z{j}") / F.col("r"))).alias(f"u{i}{j}"))])
+    of = {0: lambda i, j: F.lit(1.0 if i == j else 0.0), 1: lambda i, j: F.col(f"t{i}{j}") / (1e6 * F.col("n")), 2: lambda i, j: F.col(f"u{i}{j}") * len(DIMS) / (1e6 * F.col("n"))}
+    base = written(sums.join(centre, "g"), "starts")
+    out = None
+    for start, at in of.items():
+        cov = base.select("g", F.lit(start).alias("start"), *[F.col(f"c{i}").cast("double").alias(f"m{i}") for i in k],
+                          *[(at(i, j) * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"p{i}{j}") for i in k for j in range(i + 1)])
+        est = _factor(cov)
+        out = est if out is None else out.unionByName(est)
+    return out
+
+
+def _fit(x: DataFrame, half: float, steps: int, send) -> DataFrame:
+    """g -> centre m0.. and Cholesky factor l00.. of the concentrated covariance of least determinant found."""
+    x = x.select("g", *[f"__x{i}" for i in range(len(DIMS))])
+    est = _starts(x, send)
+    for _ in range(2):
+        est = written(_step(x, written(est, "estimates"), half, send), "estimates")
+    least = F.min_by(F.struct(*[c for c in est.columns if c != "g"]), F.struct("size", "start"))
+    best = written(est.groupBy("g").agg(least.alias("e")).select("g", "e.*"), "estimates")
+    for _ in range(max(steps - 2, 0)):
+        nxt = written(_step(x, best, half, send), "estimates")
+        was = best.select("g", F.col("size").alias("was"))
+        lower = nxt.join(was, "g").where(F.col("size") < F.col("was") - 1e-7).drop("was")
+        if lower.isEmpty():
+            break
+        lower = written(lower, "estimates")
+        best = written(best.join(lower.select("g"), "g", "left_anti").unionByName(lower), "estimates")
+    return best
+
+
+def _step(x: DataFrame, est: DataFrame, half: float, send) -> DataFrame:
+    """The estimates of the rows nearest to ``est``: of each group and start the share ``half``, and all as near as the last of them."""
+    k = range(len(DIMS))
+    d = _distance(x.join(send(est), "g")).withColumn("grade", F.floor(F.log2(F.col("distance") + 1.0) * GRADES).cast("int"))
+    within = written(_quantile(d, ["g", "start"], "grade", half, "within"), "within")
+    sums = d.join(send(within), ["g", "start"]).where("grade <= within").groupBy("g", "start").agg(
+        F.count("*").alias("n"),
+        *[F.sum(f"__x{i}").alias(f"t{i}") for i in k],
+        *[F.sum((F.col(f"__x{i}") * F.col(f"__x{j}")).cast("decimal(38,0)")).cast("double").alias(f"p{i}{j}") for i in k for j in range(i + 1)],
     )
-    zero = F.lit(0.0)
-    est = spread.select("g", *[F.col(f"c{i}").cast("double").alias(f"m{i}") for i in k], *[
-        (F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + (SCALE * FLOOR[DIMS[i]]) ** 2) if i == j else zero).alias(f"l{i}{j}")
-        for i in k for j in range(i + 1)])
-    for _ in range(steps):
-        d = _distance(x.join(send(written(est, "estimates")), "g"))
-        near = d.groupBy("g").agg(F.percentile_approx("distance", half, 10_000).alias("within"))
-        chosen = d.join(send(written(near, "within")), "g").where("distance <= within")
-        sums = chosen.groupBy("g").agg(
-            F.count("*").alias("n"),
-            *[F.sum(f"__x{i}").alias(f"t{i}") for i in k],
-            *[F.sum((F.col(f"__x{i}") * F.col(f"__x{j}")).cast("decimal(38,0)")).cast("double").alias(f"p{i}{j}") for i in k for j in range(i + 1)],
-        )
-        est = _cholesky(sums, consistency)
-    return est
+    mean = sums.select("g", "start", "n", *[(F.col(f"t{i}") / F.col("n")).alias(f"m{i}") for i in k], *[f"p{i}{j}" for i in k for j in range(i + 1)])
+    scale = consistency(half, len(DIMS))
+    return _factor(mean.select("g", "start", *[f"m{i}" for i in k], *[
+        (scale * (F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))).alias(f"p{i}{j}") for i in k for j in range(i + 1)]))
 
 
-def _cholesky(sums: DataFrame, consistency: float) -> DataFrame:
+def _factor(d: DataFrame) -> DataFrame:
+    """g, start, m0.., the Cholesky factor l00.. of the covariance p00.. and size, half the logarithm of its determinant."""
     k = range(len(DIMS))
-    d = sums.select("g", "n", *[(F.col(f"t{i}") / F.col("n")).alias(f"m{i}") for i in k], *[f"p{i}{j}" for i in k for j in range(i + 1)])
     for i in k:
         for j in range(i + 1):
-            a = consistency * (F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
+            a = F.col(f"p{i}{j}")
             if i == j:
                 a = F.greatest(a, F.lit(0.0)) + (SCALE * FLOOR[DIMS[i]]) ** 2
             for h in range(j):
@@ -171,7 +252,8 @@ def _cholesky(sums: DataFrame, consistency: float) -> DataFrame:
             # the floor on the diagonal keeps every pivot at its square or more, up to rounding
             v = F.sqrt(F.greatest(a, F.lit((SCALE * FLOOR[DIMS[i]]) ** 2 * 0.5))) if i == j else a / F.col(f"l{j}{j}")
             d = d.withColumn(f"l{i}{j}", v)
-    return d.select("g", *[f"m{i}" for i in k], *[f"l{i}{j}" for i in k for j in range(i + 1)])
+    size = sum((F.log(F.col(f"l{i}{i}")) for i in k), F.lit(0.0))
+    return d.select("g", "start", *[f"m{i}" for i in k], *[f"l{i}{j}" for i in k for j in range(i + 1)], size.alias("size"))
 
 
 def _distance(d: DataFrame) -> DataFrame:
