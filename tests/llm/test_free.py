@@ -100,6 +100,30 @@ def test_bounds_are_bounds():
         last = bound.mean()
 
 
+def test_bounds_prune_most_pairs_of_clustered_vectors():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (60, 8)).repeat(8, axis=1)  # segments differ in their means
+    x = np.floor(1024 * (centres[rng.integers(0, 60, 20_000)] + rng.normal(0, 0.2, (20_000, 64))))
+    ids = np.arange(20_000)
+    chunk = topk.Chunk(ids, x, 10, (2, 8, 16))
+    sample = ids[::64], x[::64]
+    for s in range(0, 256, 128):
+        (who, rows, score), = chunk.search(ids[s: s + 128], x[s: s + 128], sample)
+        exact = x[s: s + 128] @ x.T
+        exact[np.arange(128), np.arange(s, s + 128)] = -np.inf
+        want = np.lexsort((np.broadcast_to(ids, exact.shape), -exact), axis=1)[:, :10]
+        assert (rows.reshape(128, 10) == want).all() and (score.reshape(128, 10) == np.take_along_axis(exact, want, 1)).all()
+    left = chunk.pairs / chunk.pairs[0]
+    assert (np.diff(left) <= 0).all() and left[1] < 0.6 and left[3] < 0.1
+
+
+def test_top_k_with_clashing_columns(spark):
+    rows = [(i, [float(i % 7), 1.0], 0) for i in range(101)]
+    d = vectors_of(spark, rows).withColumns({c: F.lit("x") for c in ("query_id", "rank", "score", "n", "kind", "chunk", "grp", "id", "q", "x")})
+    got = sorted(tuple(r) for r in topk.top_k(d, F.col("vec_id") % 100 == 0).collect())
+    assert got == sorted(tuple(r) for r in topk.top_k(vectors_of(spark, rows), F.col("vec_id") % 100 == 0).collect()) and len(got) == 20
+
+
 def test_lengths(spark):
     rng = np.random.default_rng(3)
     texts = [None, "", ""] + [prose(rng, int(n)) for n in rng.integers(1, 900, 80)]

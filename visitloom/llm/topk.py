@@ -2,9 +2,10 @@
 
 A vector is cut into segments; of each the mean and the deviation (norm of what is left
 about the mean) are kept. For a segment of length m, ``m * mean_a * mean_b + dev_a * dev_b``
-bounds the inner product from above (and so the distance from below). Bounds are taken coarse to
-fine; pairs whose bound is under the query's current k-th score are dropped, and only
-survivors get exact scores. Nothing is dropped that could be in the result.
+bounds the inner product from above (and so the distance from below). A query's floor is the k-th score it reaches among a
+small sample of the candidates, so no candidate below it can be in the result. Bounds are taken coarse to
+fine; pairs whose bound is under the floor are dropped, and only survivors get exact scores, which raise the floor for the
+candidates behind them. Nothing is dropped that could be in the result.
 
 Candidates are dealt into chunks by a hash of their id, queries are sent to every chunk in blocks, each
 chunk gives its k best for each query and these are merged.
@@ -22,6 +23,8 @@ from .common import prepare_workers
 CHUNK_ROWS, QUERY_ROWS = 131_072, 262_144
 #: Candidates and queries that are compared at once.
 BLOCK, QBLOCK = 8192, 128
+#: Candidates that floors are taken from: one in so many, and at most this many.
+SAMPLE_EVERY, SAMPLE_ROWS = 64, 4096
 #: Above this share of survivors a whole block is computed, below it single pairs.
 DENSE = 0.05
 
@@ -35,7 +38,10 @@ def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 class Chunk:
-    """Candidates of one task, sorted by id, and the searches over them."""
+    """Candidates of one task, sorted by id, and the searches over them.
+
+    ``pairs`` counts pairs of a query and a candidate that each stage was left with: all, behind each level, and those scored that reach the floor.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, levels: tuple[int, ...]):
         first = np.r_[True, ids[1:] != ids[:-1]]
@@ -44,62 +50,67 @@ class Chunk:
         # scaled to 1 so that bounds of any size stay finite
         self.unit = max(self.most, 1.0)
         self.features = [segment_features(self.x / self.unit, s) for s in levels]
+        self.pairs = np.zeros(len(levels) + 2, np.int64)
 
-    def search(self, qids: np.ndarray, q: np.ndarray):
-        """(query row, candidate row, score) of the k best of each query, ties to the smaller id."""
+    def search(self, qids: np.ndarray, q: np.ndarray, sample: tuple | None = None):
+        """(query row, candidate row, score) of the k best of each query, ties to the smaller id; ``sample``: ids and vectors of some candidates of all chunks."""
         most = float(np.abs(q).max(initial=0))
-        if most * self.most * q.shape[1] >= 2.0**53:
+        if sample is not None:
+            most = max(most, float(np.abs(sample[1]).max(initial=0)))
+        if most * max(self.most, most) * q.shape[1] >= 2.0**53:
             yield from self._slow(qids, q)
             return
         unit = max(most, 1.0)
         qf = [segment_features(q / unit, s) for s in self.levels]
         scale, slack = unit * self.unit, 1e-9 * unit * self.unit * max(1, q.shape[1])
-        best = np.full((len(q), 0), -np.inf)
-        rows = np.zeros((len(q), 0), np.int64)
+        floor = floors(qids, q, sample, self.k)
+        who, rows, best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         for at in range(0, len(self.ids), BLOCK):
             ids = self.ids[at: at + BLOCK]
-            floor = best[:, -1] if best.shape[1] >= self.k else np.full(len(q), -np.inf)
             alive = self._bounded(qf, at, floor, scale, slack)
             spot = np.searchsorted(ids, qids)
             own = (spot < len(ids)) & (ids[np.minimum(spot, len(ids) - 1)] == qids)
             alive[np.nonzero(own)[0], spot[own]] = False
-            hit = np.nonzero(alive.any(axis=1))[0]
-            if not len(hit):
-                continue
-            scores = self._exact(q[hit], self.x[at: at + BLOCK], alive[hit])
-            both = np.concatenate([best[hit], scores], axis=1)
-            where = np.concatenate([rows[hit], np.broadcast_to(np.arange(at, at + len(ids)), scores.shape)], axis=1)
-            order = np.argsort(-both, axis=1, kind="stable")[:, : self.k]
-            width = order.shape[1]
-            if best.shape[1] < width:
-                best = np.pad(best, ((0, 0), (0, width - best.shape[1])), constant_values=-np.inf)
-                rows = np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
-            best[hit, :width], rows[hit, :width] = np.take_along_axis(both, order, 1), np.take_along_axis(where, order, 1)
-        i, j = np.nonzero(np.isfinite(best))
-        yield i, rows[i, j], best[i, j].astype(np.int64)
+            i, j, score = self._exact(q, self.x[at: at + BLOCK], alive, floor)
+            who, rows, best = np.concatenate([who, i]), np.concatenate([rows, at + j]), np.concatenate([best, score])
+            order = np.lexsort((rows, -best, who))
+            who, rows, best = who[order], rows[order], best[order]
+            start = np.searchsorted(who, np.arange(len(q)))
+            rank = np.arange(len(who)) - start[who]
+            full = rank == self.k - 1
+            floor[who[full]] = np.maximum(floor[who[full]], best[full])
+            who, rows, best = (v[rank < self.k] for v in (who, rows, best))
+        yield who, rows, best.astype(np.int64)
 
     def _bounded(self, qf, at, floor, scale, slack) -> np.ndarray:
         alive = None
-        for f, c in zip(qf, self.features):
+        for level, (f, c) in enumerate(zip(qf, self.features), 1):
             c = c[at: at + BLOCK]
             if alive is None or alive.mean() > DENSE:
                 ok = (f @ c.T) * scale + slack >= floor[:, None]
+                self.pairs[0] += 0 if alive is not None else ok.size
                 alive = ok if alive is None else alive & ok
             else:
                 i, j = np.nonzero(alive)
                 bound = np.einsum("ij,ij->i", f[i], c[j]) * scale + slack
                 off = bound < floor[i]
                 alive[i[off], j[off]] = False
+            self.pairs[level] += np.count_nonzero(alive)
         return alive
 
-    @staticmethod
-    def _exact(q, x, alive) -> np.ndarray:
+    def _exact(self, q, x, alive, floor):
+        """(query row, candidate row, score) of the survivors that reach the floor."""
         if alive.mean() > DENSE:
-            return np.where(alive, q @ x.T, -np.inf)
-        out = np.full(alive.shape, -np.inf)
-        i, j = np.nonzero(alive)
-        out[i, j] = np.einsum("ij,ij->i", q[i], x[j])
-        return out
+            scores = q @ x.T
+            i, j = np.nonzero(alive & (scores >= floor[:, None]))
+            score = scores[i, j]
+        else:
+            i, j = np.nonzero(alive)
+            score = np.einsum("ij,ij->i", q[i], x[j])
+            up = score >= floor[i]
+            i, j, score = i[up], j[up], score[up]
+        self.pairs[-1] += len(i)
+        return i, j, score
 
     def _slow(self, qids, q):
         """Whole numbers too large for doubles: Python integers, one query at a time."""
@@ -112,6 +123,15 @@ class Chunk:
             yield np.full(len(top), i), np.array([j for _, j in top], np.int64), np.array([max(-far, min(far, -v)) for v, _ in top], np.int64)
 
 
+def floors(qids: np.ndarray, q: np.ndarray, sample: tuple | None, k: int) -> np.ndarray:
+    """For each query the k-th score among the sample's other rows: no candidate below it is among the k best of all."""
+    if sample is None or len(sample[0]) <= k:
+        return np.full(len(q), -np.inf)
+    scores = q @ sample[1].T
+    scores[qids[:, None] == sample[0][None, :]] = -np.inf
+    return np.partition(scores, -k, axis=1)[:, -k].copy()
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024,
           levels: tuple[int, ...] = (2, 8, 16)) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k largest inner products, ties to the smaller vec_id.
@@ -131,6 +151,12 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", emb
     n, nq = v.agg(F.count("*"), F.count_if("q")).first()
     chunks = -(-n // min(CHUNK_ROWS, max(2048, -(-n // (3 * spark.sparkContext.defaultParallelism))))) or 1
     groups = -(-nq // QUERY_ROWS) or 1
+    # whatever the sample holds, floors from it are under the k-th score of all
+    seen = v.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE_ROWS, n // SAMPLE_EVERY)).collect()
+    samples: dict[int, tuple] = {}
+    for width in {len(r["x"]) for r in seen}:
+        of = {r["id"]: r["x"] for r in seen if len(r["x"]) == width}
+        samples[width] = np.array(list(of), np.int64), np.floor(np.array(list(of.values()), float) * float(scale))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     cand = v.select("id", "x", F.lit(0).alias("kind"), F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), every(groups).alias("grp"))
     ask = v.where("q").groupBy("id", F.size("x").alias("n")).agg(F.min("x").alias("x")).select(
@@ -164,7 +190,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", emb
                     xs = [None]
                 for s in range(0, hi - lo, QBLOCK):
                     qids = t["id"][lo + s: min(hi, lo + s + QBLOCK)]
-                    for i, j, score in chunk.search(qids, part[s: s + QBLOCK]):
+                    for i, j, score in chunk.search(qids, part[s: s + QBLOCK], samples.get(width)):
                         yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(chunk.ids[j]), pa.array(score)], ["query_id", "vec_id", "score"])
 
     found = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
