@@ -2,6 +2,7 @@
 
 import collections
 import math
+import re
 import zlib
 
 import numpy as np
@@ -225,6 +226,53 @@ def test_any_markup_is_read(page):
     html.main_text("<article>" + page)
 
 
+#: Pages that the tree has not seen: markup of each block and whether it is main text.
+HELD_OUT = [
+    [("<div><a href=1>Front page</a>", 0), ("<a href=2></a><p><a href=2>Sport</a></p>", 0), ("<p><a href=3>Weather</a></p></div>", 0), ("<div><h2>A bridge is closed</h2>", 1),
+     ("<p>The old bridge over the canal will be closed for repairs from the first of May until the end of summer, the council said.</p>", 1), ("<p>Walkers can use the lock.</p>", 1),
+     ("<p>The work will cost twice what was planned, because the stones under the water turned out to be softer than anyone had thought.</p></div>", 1), ("<div>© 2020 canal-times.example.org · Printed on paper.</div>", 0)],
+    [("<ul><li><a href=1>Garden</a>", 0), ("<li><a href=2>Kitchen</a>", 0), ("<li><a href=3>Cellar and attic</a></ul>", 0), ("<h1>When to cut roses</h1>", 1), ("<p>Cut them when the forsythia flowers, say the old, and the old are right.</p>", 1),
+     ("<p>Cut above a bud that looks outward, so that the bush stays open in the middle and the wind can dry its leaves after rain.</p>", 1), ("<p>Burn what is ill.</p>", 1),
+     ("<p>Feed the bush and wait for June.</p>", 1), ("<p><a href=4>Tulips</a> <a href=5>Lilies</a></p>", 0), ("<p>Copyright the gardeners, who ask you to copy nothing.</p>", 0)],
+    [("<nav><a href=1>Home</a></nav>", 0), ("<article><h1>Night trains</h1>", 1), ("<p>You board in the evening and wake by the sea.</p>", 1), ("<p>That is all there is to say about night trains, and it took this country thirty years to learn it again.</p></article>", 1),
+     ("<aside>More about trains</aside>", 0), ("<footer>(c) rails.example.com</footer>", 0)],
+]
+
+
+def plain(markup):
+    """The same without any mark of what an element is for."""
+    return re.sub(r"\s(?:class|id|role)=[^\s>]+", "", re.sub(r"<(/?)(?:article|nav|footer|header|aside|main|section)\b", r"<\1div", markup))
+
+
+@pytest.mark.parametrize("mark", [str, plain])
+def test_blocks_of_held_out_pages(mark):
+    found = right = wanted = 0
+    for page in HELD_OUT:
+        blocks = html.blocks_of(mark("".join(t for t, _ in page)))
+        assert len(blocks) == len(page)
+        keep = html.tree().predict(html.features(blocks))
+        main = np.array([m for _, m in page], bool)
+        found, right, wanted = found + keep.sum(), right + (keep & main).sum(), wanted + main.sum()
+    assert right >= 0.9 * found and right >= 0.8 * wanted
+
+
+def test_labelled_pages_have_a_label_for_each_block():
+    assert all(len(html.blocks_of("".join(t for t, _ in page))) == len(page) for page in html.PAGES)
+    x, y = html.labelled()
+    assert (html.tree().predict(x) == y).mean() > 0.93
+
+
+def test_end_tags_without_a_start_cost_nothing():
+    import time
+
+    took = []
+    for n in (4000, 32_000):
+        began = time.perf_counter()
+        html.main_text("<div>" * n + "</section>" * n + "<p>text</p>")
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0] + 0.2
+
+
 def test_long_broken_markup_is_linear():
     html.main_text('<a "' * 50_000)
     html.main_text("<" * 200_000)

@@ -1,9 +1,10 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is read once into flat blocks: the text between block-level tags, with its words, the share
-of them inside links, and where it stands (in an element for boilerplate, in an element for the article). A
-small decision tree, trained on the labelled table below, decides from these and the neighbours' words and
-link density which blocks are main text.
+of them inside links, whether it reads like a notice of rights, and where it stands (in an element for boilerplate, in an element for the
+article). A small decision tree, trained on the labelled tables below, decides from these and the neighbours' words and
+link density which blocks are main text. The tables hold pages with and without elements and classes that tell what they are for, and
+each page is learned a second time without them, so pages that mark nothing are decided by words and links alone.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import functools
 import html as _html
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,6 +34,8 @@ BOILER_WORDS = frozenset(
     " share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget pagination pager masthead tags search complementary contentinfo".split())
 #: The same for elements that mark the article.
 ARTICLE_WORDS = frozenset("article articlebody post entry content story main body".split())
+#: How notices of rights begin.
+_NOTICE = re.compile(r"^\W*(?:©|\(c\)|copyright\b)|©\s*\d{4}", re.I)
 _WORD = re.compile("[a-z]+|[A-Z][a-z]*")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -58,16 +62,18 @@ def _kind(name: str, attrs: str, in_article: bool) -> str:
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "boiler", "article")
+    __slots__ = ("text", "words", "linked", "boiler", "article", "notice")
 
-    def __init__(self, text: str, words: int, linked: int, boiler: bool, article: bool):
+    def __init__(self, text: str, words: int, linked: int, boiler: bool, article: bool, notice: bool | None = None):
         self.text, self.words, self.linked, self.boiler, self.article = text, words, linked, boiler, article
+        self.notice = bool(_NOTICE.search(text)) if notice is None else notice
 
 
 def blocks_of(page: str) -> list[Block]:
     """The flat blocks of a page, in order; malformed and cut pages are read as far as they go."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    opened: Counter = Counter()  # names on the stack, so that an end tag without a start costs nothing
     parts: list[str] = []
     linked_parts: list[str] = []
     boiler = article = links = at = 0
@@ -83,6 +89,14 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 out.append(Block(text, text.count(" ") + 1, linked, boiler > 0, article > 0))
 
+    def close() -> str:
+        nonlocal boiler, article
+        n, k = stack.pop()
+        opened[n] -= 1
+        boiler -= k == "boiler"
+        article -= k == "article"
+        return n
+
     def take(text: str):
         if text:
             parts.append(text)
@@ -137,32 +151,25 @@ def blocks_of(page: str) -> list[Block]:
         if name in VOID:
             continue
         if closing:
-            if any(n == name for n, _ in stack):
-                while stack:
-                    n, k = stack.pop()
-                    boiler -= k == "boiler"
-                    article -= k == "article"
-                    if n == name:
-                        break
+            if opened[name]:
+                while close() != name:
+                    pass
             continue
         if name == "body":
-            while stack and any(n == "head" for n, _ in stack):
-                _, k = stack.pop()
-                boiler -= k == "boiler"
-                article -= k == "article"
+            while opened["head"]:
+                close()
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option", "h1", "h2", "h3", "h4", "h5", "h6") and stack and stack[-1][0] in (name, "p"):
-            _, k = stack.pop()  # these close themselves
-            boiler -= k == "boiler"
-            article -= k == "article"
+            close()  # these close themselves
         kind = _kind(name, attrs, article > 0)
         boiler += kind == "boiler"
         article += kind == "article"
         stack.append((name, kind))
+        opened[name] += 1
     flush()
     return out
 
 
-FEATURES = ("words", "link_density", "prev_words", "prev_density", "next_words", "next_density", "boiler", "article", "page_article")
+FEATURES = ("words", "link_density", "prev_words", "prev_density", "next_words", "next_density", "boiler", "article", "page_article", "notice")
 
 
 def features(blocks: list[Block]) -> np.ndarray:
@@ -173,7 +180,8 @@ def features(blocks: list[Block]) -> np.ndarray:
     pad = lambda x, k: np.concatenate([[0.0], x[:-1]]) if k < 0 else np.concatenate([x[1:], [0.0]])
     boiler, article = np.array([b.boiler for b in blocks], float), np.array([b.article for b in blocks], float)
     some = np.full(n, float((article * (1 - boiler)).any()))
-    return np.stack([w, d, pad(w, -1), pad(d, -1), pad(w, 1), pad(d, 1), boiler, article, some], axis=1)
+    notice = np.array([b.notice for b in blocks], float)
+    return np.stack([w, d, pad(w, -1), pad(d, -1), pad(w, 1), pad(d, 1), boiler, article, some, notice], axis=1)
 
 
 #: The labelled table: pages of blocks (words, words in links, boilerplate element, article element, main text).
@@ -200,6 +208,30 @@ LABELLED = [
 ]
 
 
+#: Labelled pages as text: the markup of each block and whether it is main text.
+PAGES = [
+    [("<div><ul><li><a href=/>Home</a>", 0), ("<li><a href=/news>News</a>", 0), ("<li><a href=/c>Contact us</a></ul></div>", 0), ("<div><h1>The river rises again</h1>", 1),
+     ("<p>After three days of rain the river has passed the mark of last spring, and the lower streets are closed to cars until the end of the week.</p>", 1),
+     ("<p>The mayor asked people to stay at home and to keep an eye on their neighbours.</p>", 1), ("<h2>What comes next</h2>", 1),
+     ("<p>More rain is expected on Thursday, though less than before. See <a href=/w>the forecast</a> for the hours to come, which is brought up to date every morning at seven.</p></div>", 1),
+     ("<div>© 2021 www.river-post.example.org · Words from the river, every day.</div>", 0)],
+    [("<table><tr><td><a href=1>Start</a>", 0), ("<td><a href=2>Shop</a>", 0), ("<td><a href=3>About</a></table>", 0), ("<div>Buy two pans and get the third for nothing, only this week.</div>", 0),
+     ("<div><b>How to boil an egg</b></div>", 1), ("<div>Put the egg into cold water, bring it to the boil and take the pan off the heat. Leave it for six minutes if you like it soft and for ten if you do not.</div>", 1),
+     ("<div>Then cool it under the tap.</div>", 1), ("<div>Serve.</div>", 1), ("<div>Old eggs peel better than fresh ones, because the skin inside the shell lets go of the white as the egg loses water over the days.</div>", 1),
+     ("<div><a href=4>More recipes</a> <a href=5>Pans</a></div>", 0), ("<div>Copyright The Kitchen Table. Do not copy our pictures without asking us first.</div>", 0)],
+    [("<nav><a href=1>Titel</a></nav>", 0), ("<article><h1>Ein Haus am See</h1>", 1), ("<p>Das Haus stand leer, seit die alte Frau gestorben war, und niemand im Dorf wollte es haben, weil das Dach bei jedem Regen mehr Wasser ins Zimmer liess.</p>", 1),
+     ("<p>Nein.</p>", 1), ("<p>© stand auf einem Schild an der Tür, sonst nichts.</p>", 1), ("<p>Im Herbst kam ein Mann aus der Stadt, sah sich die Zimmer an und blieb.</p></article>", 1), ("<footer>© 2019 www.see.example.de · Alle Rechte vorbehalten.</footer>", 0)],
+    [("<div><a href=1>One</a></div>", 0), ("<div><a href=2>Two</a></div>", 0), ("<div><a href=3>Three</a></div>", 0), ("<div><a href=4>Four</a></div>", 0), ("<p>Nothing else was heard of the ship until a fisherman found a door on the beach.</p>", 1),
+     ("<p>It was painted green and had a number on it that nobody could explain for years, until a clerk in the harbour office opened the right drawer.</p>", 1), ("<p>He laughed.</p>", 1),
+     ("<p>The number was the price that the door had cost when it was new.</p>", 1), ("<div>(c) harbour.example.net · All the news that floats</div>", 0)],
+    [("<div>Subscribe to our letter and never miss a story again.</div>", 0), ("<h1>Bread for beginners</h1>", 1), ("<p>Flour, water, salt and time are all that a loaf needs, and time is the one that most people leave out.</p>", 1),
+     ("<p>Mix the flour and the water first and let them stand.</p>", 1), ("<p>Salt comes later.</p>", 1), ("<p>Bake the loaf in a pot with a lid for half an hour and without it until it is dark.</p>", 1),
+     ("<ul><li><a href=1>Cakes</a>", 0), ("<li><a href=2>Pies</a>", 0), ("<li><a href=3>Soups and stews</a></ul>", 0), ("<p>© bread.example.com · All rights reserved.</p>", 0)],
+    [("<header>The Hill Paper</header>", 0), ("<main><h1>Sheep on the road</h1>", 1), ("<p>Forty sheep held up the bus on Monday for an hour and a half, and the driver read the paper twice.</p>", 1), ("<p>Nobody was late, he said, because nobody was on the bus.</p>", 1), ("<p>Copyright was the word on the back of the paper that he read longest.</p></main>", 1),
+     ("<aside>Read also: the year of the goats</aside>", 0), ("<section id=comments><p>I was on that bus and I was late for my train!</p></section>", 0), ("<footer><a href=1>Terms</a> <a href=2>Privacy</a></footer>", 0)],
+]
+
+
 class Tree:
     """A small classification tree: Gini splits, grown until the leaves are pure or too small."""
 
@@ -235,11 +267,23 @@ class Tree:
         return node
 
 
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of all blocks of the tables; the pages of text also as if nothing on them were marked, and cut behind their main text."""
+    pages = [([Block("", w, l, bool(b), bool(a), False) for w, l, b, a, _ in page], [r[4] for r in page]) for page in LABELLED]
+    texts = [(blocks_of("".join(t for t, _ in page)), [m for _, m in page]) for page in PAGES]
+    # a notice within an article can only be told from a footer's by where it stands
+    plain = [[(b, m) for b, m in zip(*page) if not (m and b.notice)] for page in texts]
+    texts += [([Block("", b.words, b.linked, False, False, b.notice) for b, _ in page], [m for _, m in page]) for page in plain]
+    for blocks, main in texts:
+        end = len(main) - main[::-1].index(1)
+        pages += [(blocks, main), (blocks[:end], main[:end])]
+    return np.concatenate([features(b) for b, _ in pages]), np.array([float(m) for _, main in pages for m in main])
+
+
 @functools.lru_cache(maxsize=1)
 def tree() -> Tree:
-    """The tree of the labelled table, trained once in each worker."""
-    pages = [[Block("", w, l, bool(b), bool(a)) for w, l, b, a, _ in page] for page in LABELLED]
-    return Tree(np.concatenate([features(p) for p in pages]), np.array([float(r[4]) for page in LABELLED for r in page]))
+    """The tree of the labelled tables, trained once in each worker."""
+    return Tree(*labelled())
 
 
 def main_text(page: str | None) -> str:
