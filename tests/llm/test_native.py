@@ -164,6 +164,17 @@ def test_mixing_meets_targets(spark):
     assert (out.set_index("doc_id").kept == again.loc[out.doc_id]).mean() == 1
 
 
+def test_mixing_by_a_topic_column_and_margins_that_contradict(spark):
+    rows = [(i, "a b c d", "en", "s", 0) for i in range(300)]
+    d = spark.createDataFrame(rows, DOCS).withColumn("about", F.when(F.col("doc_id") % 3 == 0, "law").when(F.col("doc_id") % 3 == 1, "art"))
+    aim = spark.createDataFrame([("law", 0.5), ("art", 0.25), ("", 0.25)], "topic string, target double")
+    out = mixing.mix(d, targets={"topic": aim}, topic=F.col("about")).toPandas()
+    assert out.groupby("topic").probability.first().round(6).to_dict() == {"": 0.5, "art": 0.5, "law": 1.0}
+    cells = spark.createDataFrame([("a", "x", "t", 5)], "source string, lang string, topic string, tokens long")
+    odd = mixing.rake(cells, {"source": spark.createDataFrame([("b", 1.0)], "source string, target double")}, rounds=2, most=4).collect()
+    assert len(odd) == 1 and odd[0]["weight"] == 0.0
+
+
 def test_mixing_edges(spark):
     d = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b", "en", "s", 3)], DOCS).withColumn("topic", F.lit(0))
     assert mixing.mix(d).count() == 3 and mixing.mix(d.limit(0)).count() == 0

@@ -43,10 +43,11 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return by.select(margin, (F.col("target") / F.sum("target").over(Window.partitionBy(F.lit(0)))).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12, at_once: int = 6) -> DataFrame:
-    """``cells`` with weight: shares that meet the targets, one margin after another, ``rounds`` times.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12, tolerance: float = 1e-6, most: int = 120) -> DataFrame:
+    """``cells`` with weight: shares that meet the targets, one margin after another.
 
-    A value without a target gets weight 0; targets of values that no cell has are left out and the
+    ``rounds`` times, then again as often while a margin is off by more than ``tolerance`` of all tokens, at most ``most`` times: margins that
+    contradict each other are met as nearly as they can be. A value without a target gets weight 0; targets of values that no cell has are left out and the
     rest scaled up, so weights sum to 1.
     """
     w = cells.withColumn("weight", F.col("tokens").cast("double"))
@@ -54,15 +55,26 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12, at_o
         present = F.sum(F.col("__t")).over(Window.partitionBy(F.lit(0)))
         t = t.groupBy(m).agg(F.sum("target").alias("__t")).join(cells.select(m).distinct(), m, "left_semi")
         w = w.join(t.select(m, (F.col("__t") / present).alias(f"__{m}")), m, "left").fillna(0.0, [f"__{m}"])
-    for k in range(rounds):
-        if k % at_once == 0:
+    for k in range(most):
+        if k % 6 == 0:
             w = written(w, "cells")
+        if k and k % rounds == 0 and _largest_miss(w, list(targets)) <= tolerance:
+            break
         for m in targets:
             total = F.sum("weight").over(Window.partitionBy(m))
             w = w.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"__{m}") / total).otherwise(0.0))
     return w.drop(*[f"__{m}" for m in targets])
 
 
+def _largest_miss(w: DataFrame, margins: list[str]) -> float:
+    """How far the weight of a value of a margin is from its target at most."""
+    miss = None
+    for m in margins:
+        t = w.groupBy(m).agg(F.abs(F.sum("weight") - F.first(f"__{m}")).alias("miss")).select("miss")
+        miss = t if miss is None else miss.unionByName(t)
+    return miss.agg(F.max("miss")).first()[0] or 0.0
+
+
 def uniform(doc_id: Column, seed: int) -> Column:
     """A number in [0, 1) from the id: the first 48 bits of an md5 hash."""
     h = F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(str(seed))))
@@ -70,19 +82,21 @@ def uniform(doc_id: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, doc_id: str = "doc_id",
-        text: str = "text", rounds: int = 12, seed: int = 7) -> DataFrame:
+        text: str = "text", rounds: int = 12, seed: int = 7, topic: Column | None = None) -> DataFrame:
     """``docs`` with topic, n_tokens, probability and kept; one row per input row.
 
     Targets are given per margin or are the present shares tempered by ``powers``.
     The probability is the raked weight per token over the largest such, so the kept
-    tokens meet the raked shares in expectation and the fullest cell is kept whole. Null sources and
+    tokens meet the raked shares in expectation and the fullest cell is kept whole. ``topic`` is a column of the documents' topics (null counts as the
+    empty string); unless given, the form of the text stands in for it. Null sources and
     languages count as the empty string; null and empty texts weigh one token; repeated rows with one id are kept or left
     together. An empty table gives an empty result. Columns with the names of results are replaced.
     """
     own = ("topic", "n_tokens", "probability", "kept")
     carry = [c for c in docs.columns if c not in own]
-    d = docs.select(*carry, token_weight(F.col(text)).alias("n_tokens"))
-    d = d.withColumns({"topic": topic_of(F.col(text), F.col("n_tokens")), "__source": F.coalesce("source", F.lit("")), "__lang": F.coalesce("lang", F.lit(""))})
+    given = [] if topic is None else [topic.cast("string").alias("__topic")]
+    d = docs.select(*carry, token_weight(F.col(text)).alias("n_tokens"), *given)
+    d = d.withColumns({"topic": topic_of(F.col(text), F.col("n_tokens")) if topic is None else F.coalesce(F.col("__topic"), F.lit("")), "__source": F.coalesce("source", F.lit("")), "__lang": F.coalesce("lang", F.lit(""))})
     cells = written(cells_of(d.select(F.col("__source").alias("source"), F.col("__lang").alias("lang"), "topic", "n_tokens")), "cells")
     powers = powers or {"source": 0.7, "lang": 0.8, "topic": 0.9}
     aim = {m: (targets or {}).get(m) for m in MARGINS}
