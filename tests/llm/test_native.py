@@ -277,7 +277,7 @@ def brute_mcd(x, half=0.75):
 
     size = lambda e: np.linalg.slogdet(e[1])[1] / 2
     best = min((step(*step(c, cov + np.diag(floor))) for cov in covs), key=size)
-    while size(nxt := step(*best)) < size(best) - 1e-7:
+    while size(nxt := step(*best)) < size(best) - quality.SETTLED:
         best = nxt
     return dist(*best)
 

@@ -68,7 +68,10 @@ def drop_written(df: DataFrame) -> None:
 
 
 def drop_shuffles(df: DataFrame) -> None:
-    """Have Spark delete the shuffle files of plans that nothing refers to; it does so only when the driver collects its garbage."""
+    """Have Spark delete the shuffle files of plans that nothing refers to; it does so only when the driver collects its garbage.
+
+    The driver gives back the memory of these plans and of their generated classes, too.
+    """
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 

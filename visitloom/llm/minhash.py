@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare_workers, written
+from .common import drop_shuffles, prepare_workers, written
 from .components import connected_components
 
 BINS, ROWS = 256, 7
@@ -224,6 +224,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     linked = linked.join(_bounded(ids), "component").select("fp", "component_id")
     alone = classes.where("times > 1").select("fp", F.col("least").alias("component_id")).join(linked.select("fp"), "fp", "left_anti")
     of = _bounded(written(linked.unionByName(alone), "named"))
+    drop_shuffles(sig)
     return sig.select("doc_id", "n_shingles", "fp").join(of, "fp", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_shuffles, written
 
 MARGINS = ("source", "lang", "topic")
 #: Cells up to this many are sent to all executors; more are joined by a shuffle.
@@ -102,6 +102,7 @@ def mix(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[s
     aim = {m: (targets or {}).get(m) for m in MARGINS}
     aim = {m: tempered(cells, m, powers[m]) if t is None else t for m, t in aim.items()}
     rates = written(rake(cells, aim, rounds).select(*MARGINS, (F.col("weight") / F.col("tokens")).alias("rate")), "rates")
+    drop_shuffles(cells)
     top = rates.agg(F.max("rate")).first()[0] or 1.0
     rates = rates.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), "topic", (F.col("rate") / top).alias("probability"))
     if rates.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, words, written
+from .common import drop_shuffles, let, words, written
 
 #: Names of the vector's components.
 DIMS = ("length", "word", "symbol", "repeat", "upper")
@@ -33,6 +33,8 @@ MIN_GROUP = 50
 GRAIN, ENDS = 5, 30_000
 #: Distances are counted in so many steps each time that they double.
 GRADES = 256
+#: A fit goes on while half the logarithm of its determinant falls by more than this.
+SETTLED = 1e-5
 #: Group estimates up to this many are sent to all executors; more are joined by a shuffle.
 BROADCAST_GROUPS = 10_000
 
@@ -121,6 +123,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     send = F.broadcast if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else lambda t: t
     rows = d.join(send(groups), ["__lang", "__source"], "left")
     fit = written(_fit(written(rows.where("NOT base_failed").select("g", *parts), "vectors"), half, steps, send), "estimates")
+    drop_shuffles(d)
     scored = _distance(rows.join(send(fit), "g", "left"))
     return scored.select(
         *carry, *own[:7], "distance",
@@ -212,14 +215,15 @@ def _fit(x: DataFrame, half: float, steps: int, send) -> DataFrame:
         est = written(_step(x, written(est, "estimates"), half, send), "estimates")
     least = F.min_by(F.struct(*[c for c in est.columns if c != "g"]), F.struct("size", "start"))
     best = written(est.groupBy("g").agg(least.alias("e")).select("g", "e.*"), "estimates")
+    names = [c for c in best.columns if c != "g"]
     for _ in range(max(steps - 2, 0)):
-        nxt = written(_step(x, best, half, send), "estimates")
-        was = best.select("g", F.col("size").alias("was"))
-        lower = nxt.join(was, "g").where(F.col("size") < F.col("was") - 1e-7).drop("was")
-        if lower.isEmpty():
+        nxt = _step(x, best, half, send).select("g", F.struct(*names).alias("next"))
+        both = best.select("g", F.struct(*names).alias("e")).join(nxt, "g")
+        fell = F.col("next.size") < F.col("e.size") - SETTLED
+        both = written(both.select("g", F.when(fell, F.col("next")).otherwise(F.col("e")).alias("e"), fell.alias("fell")), "estimates")
+        best = both.select("g", "e.*")
+        if both.where("fell").isEmpty():
             break
-        lower = written(lower, "estimates")
-        best = written(best.join(lower.select("g"), "g", "left_anti").unionByName(lower), "estimates")
     return best
 
 
