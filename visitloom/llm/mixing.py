@@ -56,7 +56,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12, tole
         t = t.groupBy(m).agg(F.sum("target").alias("__t")).join(cells.select(m).distinct(), m, "left_semi")
         w = w.join(t.select(m, (F.col("__t") / present).alias(f"__{m}")), m, "left").fillna(0.0, [f"__{m}"])
     for k in range(most):
-        if k % 6 == 0:
+        if k % 3 == 0:  # plans stay small
             w = written(w, "cells")
         if k and k % rounds == 0 and _largest_miss(w, list(targets)) <= tolerance:
             break

@@ -32,9 +32,9 @@ MIN_GROUP = 50
 #: Statistics are counted in steps of this many thousandths for medians, between these ends.
 GRAIN, ENDS = 5, 30_000
 #: Distances are counted in so many steps each time that they double.
-GRADES = 256
+GRADES = 64
 #: A fit goes on while half the logarithm of its determinant falls by more than this.
-SETTLED = 1e-5
+SETTLED = 1e-3
 #: Group estimates up to this many are sent to all executors; more are joined by a shuffle.
 BROADCAST_GROUPS = 10_000
 
@@ -211,8 +211,8 @@ def _fit(x: DataFrame, half: float, steps: int, send) -> DataFrame:
     """g -> centre m0.. and Cholesky factor l00.. of the concentrated covariance of least determinant found."""
     x = x.select("g", *[f"__x{i}" for i in range(len(DIMS))])
     est = _starts(x, send)
-    for _ in range(2):
-        est = written(_step(x, written(est, "estimates"), half, send), "estimates")
+    est = _step(x, est, half, send)
+    est = written(_step(x, written(est, "estimates"), half, send), "estimates")
     least = F.min_by(F.struct(*[c for c in est.columns if c != "g"]), F.struct("size", "start"))
     best = written(est.groupBy("g").agg(least.alias("e")).select("g", "e.*"), "estimates")
     names = [c for c in best.columns if c != "g"]
@@ -228,16 +228,23 @@ def _fit(x: DataFrame, half: float, steps: int, send) -> DataFrame:
 
 
 def _step(x: DataFrame, est: DataFrame, half: float, send) -> DataFrame:
-    """The estimates of the rows nearest to ``est``: of each group and start the share ``half``, and all as near as the last of them."""
+    """The estimates of the rows nearest to ``est``: of each group and start the share ``half``, and all as near as the last of them.
+
+    Rows are added up by how far away they are, then these sums from the nearest on: one pass over the rows.
+    """
     k = range(len(DIMS))
     d = _distance(x.join(send(est), "g")).withColumn("grade", F.floor(F.log2(F.col("distance") + 1.0) * GRADES).cast("int"))
-    within = written(_quantile(d, ["g", "start"], "grade", half, "within"), "within")
-    sums = d.join(send(within), ["g", "start"]).where("grade <= within").groupBy("g", "start").agg(
+    firsts, seconds = [f"t{i}" for i in k], [f"p{i}{j}" for i in k for j in range(i + 1)]
+    sums = d.groupBy("g", "start", "grade").agg(
         F.count("*").alias("n"),
         *[F.sum(f"__x{i}").alias(f"t{i}") for i in k],
-        *[F.sum((F.col(f"__x{i}") * F.col(f"__x{j}")).cast("decimal(38,0)")).cast("double").alias(f"p{i}{j}") for i in k for j in range(i + 1)],
+        *[F.sum((F.col(f"__x{i}") * F.col(f"__x{j}")).cast("decimal(38,0)")).alias(f"p{i}{j}") for i in k for j in range(i + 1)],
     )
-    mean = sums.select("g", "start", "n", *[(F.col(f"t{i}") / F.col("n")).alias(f"m{i}") for i in k], *[f"p{i}{j}" for i in k for j in range(i + 1)])
+    group = Window.partitionBy("g", "start")
+    upto = group.orderBy("grade")
+    sums = sums.select("g", "start", "grade", F.sum("n").over(group).alias("all"), *[F.sum(c).over(upto).alias(c) for c in ["n", *firsts, *seconds]])
+    sums = sums.where(F.col("n") >= F.ceil(F.col("all") * half)).groupBy("g", "start").agg(F.min_by(F.struct("n", *firsts, *seconds), "grade").alias("s")).select("g", "start", "s.*")
+    mean = sums.select("g", "start", "n", *[(F.col(f"t{i}") / F.col("n")).alias(f"m{i}") for i in k], *[F.col(c).cast("double").alias(c) for c in seconds])
     scale = consistency(half, len(DIMS))
     return _factor(mean.select("g", "start", *[f"m{i}" for i in k], *[
         (scale * (F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))).alias(f"p{i}{j}") for i in k for j in range(i + 1)]))
