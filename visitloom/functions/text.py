@@ -47,18 +47,23 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+#: The patterns that cleaning takes out, in the order in which it does.
+CUT_B = (r"(?U)\s*\([^)]*hcc[^)]*\)", r"(?U)\b\d{3}\.\d{1,2}\b")
+CUT_A = (r"[\"']", r"^\\+|\\+$", r"\([^)]*hcc[^)]*\)", r"\(cms[^)]*\)", r"(?U)\b\(\d{3}(\.\d+)?\)", ",")
+
+
 def clean_term(c: Column, variant: str = "A") -> Column:
     """A term for embedding and matching; variant A for vocabularies, B for scores. Null becomes empty."""
     t = strip(F.lower(F.coalesce(c, F.lit(""))))
     if variant == "B":
-        t = F.regexp_replace(t, r"(?U)\s*\([^)]*hcc[^)]*\)", "")
-        t = F.regexp_replace(t, r"(?U)\b\d{3}\.\d{1,2}\b", "")
+        for pattern in CUT_B:
+            t = F.regexp_replace(t, pattern, "")
         for n in NOISE:
             t = F.replace(t, F.lit(n), F.lit(""))
         return squeeze(t)
     if variant != "A":
         raise ValueError(f"no variant {variant}")
-    for pattern in (r"[\"']", r"^\\+|\\+$", r"\([^)]*hcc[^)]*\)", r"\(cms[^)]*\)", r"(?U)\b\(\d{3}(\.\d+)?\)", ","):
+    for pattern in CUT_A:
         t = F.regexp_replace(t, pattern, "")
     for n in NOISE:
         t = F.replace(t, F.lit(n), F.lit(""))

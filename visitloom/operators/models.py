@@ -50,9 +50,9 @@ class HttpLLM:
             with urllib.request.urlopen(request, timeout=self.timeout) as reply:
                 return json.load(reply)["choices"][0]["message"]["content"]
         except OSError as e:
-            return f"ERROR: API connection failed - {e}"
+            return f"ERROR: the model service cannot be reached ({e})"
         except Exception as e:
-            return f"ERROR: Unexpected LLM error - {e}"
+            return f"ERROR: no usable reply from the model service ({e})"
 
 
 def complete(df: DataFrame, prompt: str, make: Callable[[], LLM] = StubLLM, max_tokens: int = 512, temperature: float = 0.7,

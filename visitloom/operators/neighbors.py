@@ -1,4 +1,4 @@
-"""Pairwise metrics and nearest neighbours over vectors."""
+"""Pairwise metrics and nearest neighbours over vectors: blocks of rows meet in cells, each a matrix product in a worker."""
 
 from __future__ import annotations
 
@@ -6,35 +6,91 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .pairs import blocked, unordered_pairs
-
-
-def pairwise_metrics(vectors: DataFrame, key: str, vec: str, blocks: int = 8) -> DataFrame:
-    """cosine_similarity and euclidean_distance of each unordered pair; norms are worked out once a row."""
-    v = vectors.select(F.col(key).alias("k"), V.doubles(F.col(vec)).alias("v")).withColumn("n", V.norm(F.col("v")))
-    p = unordered_pairs(v, "k", blocks)
-    n = F.col("n_1") * F.col("n_2")
-    return p.select(
-        F.col("k_1").alias(f"{key}_1"), F.col("k_2").alias(f"{key}_2"),
-        F.when(n == 0, 0.0).otherwise(V.dot(F.col("v_1"), F.col("v_2")) / F.when(n == 0, 1.0).otherwise(n)).alias("cosine_similarity"),
-        V.euclidean(F.col("v_1"), F.col("v_2")).alias("euclidean_distance"),
-    )
-
-
-def nearest(vectors: DataFrame, key: str, vec: str, k: int, metric: str = "euclidean", blocks: int = 8) -> DataFrame:
-    """key, rank, neighbor, distance: the ``k`` nearest others; ties to the lesser key. Cosine distance is one less the similarity."""
-    v = vectors.select(F.col(key).alias("k"), V.doubles(F.col(vec)).alias("v")).withColumn("n", V.norm(F.col("v")))
-    left, right = blocked(v, "k", blocks)
-    p = left.join(right.select("__cell", F.col("k").alias("k2"), F.col("v").alias("v2"), F.col("n").alias("n2")), "__cell").where("k <> k2")
-    n = F.col("n") * F.col("n2")
-    cos = F.when(n == 0, 0.0).otherwise(V.dot(F.col("v"), F.col("v2")) / F.when(n == 0, 1.0).otherwise(n))
-    d = p.select("k", "k2", (1.0 - cos if metric == "cosine" else V.euclidean(F.col("v"), F.col("v2"))).alias("distance"))
-    w = Window.partitionBy("k").orderBy(F.round("distance", 9), "k2")
+from ..session import ship_package
+from .pairs import blocked, blocks_for
+
+#: Rows that are compared with a block at once.
+AT_ONCE = 64
+
+
+def _metrics(x, y):
+    """Cosine similarities (0 for a zero vector) and euclidean distances of the rows of two matrices."""
+    import numpy as np
+
+    norms = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :]
+    cos = np.divide(x @ y.T, norms, out=np.zeros_like(norms), where=norms != 0)
+    away = [np.sqrt(((x[i: i + AT_ONCE, None, :] - y[None, :, :]) ** 2).sum(2)) for i in range(0, len(x), AT_ONCE)]
+    return cos, np.concatenate(away) if away else np.zeros_like(norms)
+
+
+def _matrix(column):
+    import numpy as np
+
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat, float).reshape(len(column), -1)
+
+
+def _over_cells(vectors: DataFrame, key: str, vec: str, blocks: int | None, pairs, columns: str) -> DataFrame:
+    """``pairs(keys, matrix, keys, matrix)`` of the two blocks of every cell; rows without a key or a vector take no part, all vectors must have one length."""
+    ship_package(vectors.sparkSession)
+    v = vectors.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(F.col(key).alias("k"), V.doubles(F.col(vec)).alias("v"))
+    left, right = blocked(v, "k", blocks or blocks_for(v))
+    sides = left.select("__cell", F.lit(0).alias("side"), "k", "v").unionByName(right.select("__cell", F.lit(1).alias("side"), "k", "v"))
+
+    def run(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        one, two = (table.filter(pc.equal(table["side"], s)).sort_by("k") for s in (0, 1))
+        if not (one.num_rows and two.num_rows):
+            i, j, values = [], [], [[] for _ in columns.split(", ")]
+        else:
+            i, j, *values = pairs(one["k"].to_numpy(), _matrix(one["v"]), two["k"].to_numpy(), _matrix(two["v"]))
+        take = lambda t, at: t["k"].combine_chunks().take(pa.array(at, pa.int64()))
+        return pa.table([take(one, i), take(two, j), *[pa.array(x, pa.float64()) for x in values]], ["k_1", "k_2", *[c.split()[0] for c in columns.split(", ")]])
+
+    kind = v.schema["k"].dataType.simpleString()
+    return sides.groupBy("__cell").applyInArrow(run, f"k_1 {kind}, k_2 {kind}, {columns}")
+
+
+def pairwise_metrics(vectors: DataFrame, key: str, vec: str, blocks: int | None = None) -> DataFrame:
+    """cosine_similarity and euclidean_distance of each unordered pair, the lesser key first."""
+    def pairs(k1, x, k2, y):
+        import numpy as np
+
+        cos, away = _metrics(x, y)
+        i, j = np.nonzero(k1[:, None] < k2[None, :])
+        return i, j, cos[i, j], away[i, j]
+
+    p = _over_cells(vectors, key, vec, blocks, pairs, "cosine_similarity double, euclidean_distance double")
+    return p.withColumnsRenamed({"k_1": f"{key}_1", "k_2": f"{key}_2"})
+
+
+def nearest(vectors: DataFrame, key: str, vec: str, k: int, metric: str = "euclidean", blocks: int | None = None) -> DataFrame:
+    """key, rank, neighbor, distance: the ``k`` nearest others; ties to the lesser key. Cosine distance is one less the similarity.
+
+    A cell gives each row the ``k`` nearest of a block, so what is ranked at the end grows with the rows and their blocks, not with the pairs.
+    """
+    def best(k1, x, k2, y):
+        import numpy as np
+
+        cos, away = _metrics(x, y)
+        d = 1.0 - cos if metric == "cosine" else away
+        d[k1[:, None] == k2[None, :]] = np.inf
+        # columns are in the order of their keys
+        j = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :k]
+        i = np.repeat(np.arange(len(k1)), j.shape[1])
+        j = j.ravel()
+        some = np.isfinite(d[i, j])
+        return i[some], j[some], d[i, j][some]
+
+    d = _over_cells(vectors, key, vec, blocks, best, "distance double")
+    w = Window.partitionBy("k_1").orderBy(F.round("distance", 9), "k_2")
     d = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return d.select(F.col("k").alias(key), "rank", F.col("k2").alias("neighbor"), "distance")
+    return d.select(F.col("k_1").alias(key), "rank", F.col("k_2").alias("neighbor"), "distance")
 
 
-def mean_similarity(vectors: DataFrame, key: str, vec: str, blocks: int = 8) -> DataFrame:
+def mean_similarity(vectors: DataFrame, key: str, vec: str, blocks: int | None = None) -> DataFrame:
     """n, average_similarity over all unordered pairs; null for fewer than two rows."""
     p = pairwise_metrics(vectors, key, vec, blocks)
     return p.agg(F.count("*").alias("n_pairs"), F.avg("cosine_similarity").alias("average_similarity"))

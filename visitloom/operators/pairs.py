@@ -6,11 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a block, and blocks at least, so that small tables use all cores.
+BLOCK_ROWS, LEAST_BLOCKS = 1024, 8
+
+
+def blocks_for(df: DataFrame) -> int:
+    """So many blocks that none holds much more than ``BLOCK_ROWS`` rows."""
+    return max(LEAST_BLOCKS, -(-df.count() // BLOCK_ROWS))
+
+
 def blocked(df: DataFrame, key: str, blocks: int) -> tuple[DataFrame, DataFrame]:
     """Two sides on which ``__cell`` is equal for each pair of rows exactly once: all pairs as an equi-join.
 
     Rows are dealt into blocks by a hash; the left side goes to the cells of its row, the right side to those of its column.
-    A task holds one block of each side, whatever the table's size, and no side is broadcast.
+    A cell holds one block of each side and no side is broadcast.
     """
     b = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
@@ -20,9 +29,9 @@ def blocked(df: DataFrame, key: str, blocks: int) -> tuple[DataFrame, DataFrame]
     return left, right
 
 
-def unordered_pairs(df: DataFrame, key: str, blocks: int = 8) -> DataFrame:
+def unordered_pairs(df: DataFrame, key: str, blocks: int | None = None) -> DataFrame:
     """Each unordered pair of rows: columns of both with the suffixes _1 and _2, the lesser key first."""
-    left, right = blocked(df, key, blocks)
+    left, right = blocked(df, key, blocks or blocks_for(df))
     one = left.select("__cell", *[F.col(c).alias(f"{c}_1") for c in df.columns])
     two = right.select("__cell", *[F.col(c).alias(f"{c}_2") for c in df.columns])
     return one.join(two, "__cell").where(F.col(f"{key}_1") < F.col(f"{key}_2")).drop("__cell")

@@ -21,12 +21,14 @@ def resume(spark: SparkSession, source: DataFrame, key: str, transform: Callable
 
 
 def ingest_stream(stream: DataFrame, key: str, transform: Callable[[DataFrame], DataFrame], log: str, output: str, checkpoint: str):
-    """The same for files that keep arriving: each micro-batch appends the rows of ids that the log does not have."""
+    """The same for files that keep arriving: each micro-batch writes the rows of ids that the log does not have.
+
+    A batch has a folder of its own, which a batch that runs again overwrites, and is logged last: a crash between the two writes repeats no row.
+    """
     def batch(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
-        new = unprocessed(df, processed_ids(spark, log), key).persist()
-        transform(new).write.mode("append").parquet(output)
+        new = unprocessed(df, processed_ids(df.sparkSession, log), key)
+        folder = f"{output}/epoch={epoch}"
+        transform(new).write.mode("overwrite").parquet(folder)
         log_processed(new.select(key), log)
-        new.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
