@@ -1,6 +1,7 @@
 """Operators on small tables: order, windows, pairs, matching, models, resuming."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from visitloom.config import RunConfig, parse_args
@@ -201,3 +202,13 @@ def test_sources(spark, tmp_path):
 def test_first_qualifying(spark):
     df = spark.createDataFrame([([["a"], [], [None, "x"], [""]],), ([[]],)], "h array<array<string>>")
     assert [r[0] for r in df.select(V.first_qualifying(F.col("h"))).collect()] == ["a", None]
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7, 500])
+def test_numbered_is_the_place_in_order(spark, ranges):
+    values = [None, "", *(f"{'same ' * (i % 3)}{i * 37 % 101}" for i in range(101))]
+    out = stats.numbered(spark.createDataFrame([(v,) for v in values], "v string"), "v", "i", ranges)
+    assert out.columns == ["v", "i"]
+    assert [r["v"] for r in sorted(out.collect(), key=lambda r: r["i"])] == [None, *sorted(values[1:])]
+    assert sorted(r["i"] for r in out.collect()) == list(range(len(values)))
+    assert stats.numbered(spark.createDataFrame([], "v string"), "v", "i", ranges).count() == 0

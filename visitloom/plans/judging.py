@@ -14,14 +14,15 @@ from .history import ITEMS, N, SENTENCES, VISITS
 from .termsets import COS, VEC
 
 
+CATEGORIES = ("diagnoses", "medications", "treatments")
+
+
 def _long_terms(spark, d):
     """patient_id, section, category, pos, term: what the last context visit has stands for the prediction of the next."""
-    v = A.visit_names(spark, d)
-    out = None
-    for section, index in (("predicted", N - 1), ("actual", N)):
-        for c in ("diagnoses", "medications", "treatments"):
-            one = v.where(F.col("visit_idx") == index).select("patient_id", F.lit(section).alias("section"), F.lit(c).alias("category"), F.posexplode(c).alias("pos", "name"))
-            out = one if out is None else out.unionByName(one)
+    v = A.visit_names(spark, d).where(F.col("visit_idx").isin(N - 1, N))
+    section = F.when(F.col("visit_idx") == N - 1, "predicted").otherwise("actual").alias("section")
+    lists = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("names")) for c in CATEGORIES])).alias("l")
+    out = v.select("patient_id", section, lists).select("patient_id", "section", "l.category", F.posexplode("l.names").alias("pos", "name"))
     have = V.with_min_history(A.visits(spark, d), N).select("patient_id")
     return out.join(have, "patient_id", "left_semi").select("patient_id", "section", "category", "pos", text.clean_term(F.col("name")).alias("term"))
 
@@ -41,7 +42,7 @@ def idf_registry(spark, d):
 def _candidates(spark, d):
     t = _long_terms(spark, d)
     lib = A.term_vectors(spark, d)
-    lib = t.select("category").distinct().join(lib.select(text.clean_term(F.col("term")).alias("term"), "vec"))
+    lib = lib.select(F.explode(F.array(*map(F.lit, CATEGORIES))).alias("category"), text.clean_term(F.col("term")).alias("term"), "vec")
     side = lambda s: t.where(F.col("section") == s).select("patient_id", "category", "pos", "term")
     return matching.candidates(side("actual"), side("predicted"), lib, _registry(spark, d))
 

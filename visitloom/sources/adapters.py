@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sentence
+from ..operators.stats import numbered
 from ..operators.visits import index_visits
 
 
@@ -76,8 +77,5 @@ def terms(spark: SparkSession, d: str) -> DataFrame:
 
 def term_vectors(spark: SparkSession, d: str) -> DataFrame:
     """term, vec: part names in order take the vectors in order."""
-    from pyspark.sql import Window
-
-    names = table(spark, d, "part").select("p_name").distinct()
-    n = names.withColumn("vec_id", F.row_number().over(Window.orderBy("p_name")) - 1)
+    n = numbered(table(spark, d, "part").select("p_name").distinct(), "p_name", "vec_id")
     return n.join(table(spark, d, "embeddings"), "vec_id").select(F.col("p_name").alias("term"), F.col("embedding").alias("vec"))
