@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, lengths, lines, lm, minhash, mixing, packing, quality, topk, urls
+from . import html, lengths, lines, lm, minhash, mixing, packing, quality, topk, urls, whitening
 from .common import table
 
 #: The production rules of op2: host, path prefix, verdict.
@@ -110,6 +110,14 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    of = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    return rows.select("vec_id", "n", "deviation", "identity_error", of).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", F.col("deviation").try_cast("bigint").alias("deviation"),
+        "c.whitened", "c.explained", "identity_error")
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
@@ -122,6 +130,7 @@ def queries() -> dict:
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_html_extraction": op9_html_extraction,
         "op10_lm_scoring": op10_lm_scoring,
+        "op12_whitening": op12_whitening,
     }
 
 
