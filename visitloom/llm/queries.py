@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, lengths, lines, lm, minhash, mixing, packing, quality, topk, urls, whitening
+from . import divergence, html, lengths, lines, lm, minhash, mixing, packing, quality, topk, urls, whitening
 from .common import table
 
 #: The production rules of op2: host, path prefix, verdict.
@@ -110,6 +110,29 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP11_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+u AS (SELECT id, lang, source, unnest(ts) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM u GROUP BY 1, 2 HAVING count(DISTINCT id) >= 30),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM u GROUP BY 1, 2, 3),
+f AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS in_lang FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS MATERIALIZED (SELECT *, 1 + (1000000000 * (n + 5)::HUGEINT) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p,
+  1 + (1000000000 * (in_lang + 5)::HUGEINT) // (sum(in_lang) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS q FROM f),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+x AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
+SELECT * FROM x WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     of = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
@@ -130,6 +153,7 @@ def queries() -> dict:
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_html_extraction": op9_html_extraction,
         "op10_lm_scoring": op10_lm_scoring,
+        "op11_source_divergence": op11_source_divergence,
         "op12_whitening": op12_whitening,
     }
 
@@ -145,4 +169,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk_search": OP3_SQL, "op2_url_filter": OP2_SQL, "op5_mixing": _op5_sql()}
+    return {"op11_source_divergence": OP11_SQL, "op3_topk_search": OP3_SQL, "op2_url_filter": OP2_SQL, "op5_mixing": _op5_sql()}
