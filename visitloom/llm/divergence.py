@@ -19,7 +19,7 @@ HELD = 400_000
 #: Sources of a block, terms of a tile, pairs of a source and a posting that are expanded at once.
 SOURCES, TILE, EXPAND = 256, 2048, 2_000_000
 #: Postings for each part that a language's terms are dealt into.
-PART_ROWS = 250_000
+PART_ROWS = 32_768
 
 _KEPT = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 #: Bytes of a text to terms set apart by blanks: ASCII letters lower-cased, all other ASCII characters blanks, the rest as it is.
