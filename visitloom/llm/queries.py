@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, html, lengths, lines, lm, minhash, mixing, packing, quality, topk, urls, whitening
+from . import divergence, fingerprints, html, lengths, lines, lm, minhash, mixing, packing, quality, topk, urls, whitening
 from .common import table
 
 #: The production rules of op2: host, path prefix, verdict.
@@ -141,6 +141,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c.whitened", "c.explained", "identity_error")
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_test(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
@@ -155,6 +159,7 @@ def queries() -> dict:
         "op10_lm_scoring": op10_lm_scoring,
         "op11_source_divergence": op11_source_divergence,
         "op12_whitening": op12_whitening,
+        "op13_fingerprints": op13_fingerprints,
     }
 
 

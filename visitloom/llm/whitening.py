@@ -34,11 +34,13 @@ class Moments:
         for at in range(0, len(x), BLOCK):
             part = x[at: at + BLOCK]
             k = self.n + np.arange(1, len(part) + 1)[:, None]
-            away = part - self.mean
+            # the first vector stands for a mean that is not there yet
+            about = self.mean if self.n else part[0].astype(float)
+            away = part - about
             before = np.cumsum(away, axis=0) - away
             d = away - before / np.maximum(k - 1, 1)
             self.scatter += (d * ((k - 1) / k)).T @ d
-            self.mean = self.mean + away.sum(axis=0) / k[-1]
+            self.mean = about + away.sum(axis=0) / k[-1]
             self.n += len(part)
         if x.dtype == np.int64:
             # halves of 32 bits, so that no sum of a block overflows
@@ -148,7 +150,9 @@ def eigen(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     Symmetric QR steps with Wilkinson's shift on the tridiagonal form; each step chases the bulge down by plane rotations.
     """
-    unit = np.abs(a).max(initial=0.0) or 1.0
+    if not len(a):
+        return np.zeros(0), np.zeros((0, 0))
+    unit = np.abs(a).max() or 1.0
     d, e, q = tridiagonal(a / unit)
     qt, eps = np.ascontiguousarray(q.T), np.finfo(float).eps
     end, turns = len(d) - 1, 0
