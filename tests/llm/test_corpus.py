@@ -153,7 +153,7 @@ def brute_fingerprints(texts, band=(0.2, 0.8)):
         for lane in range(fingerprints.LANES):
             hs = used
             for level in range(fingerprints.LEVELS):
-                hs = [h for h in hs if not ((h % 2**64) >> (16 * lane + level)) & 1]
+                hs = [h for h in hs if not ((h % 2**64) >> (fingerprints.LEVELS * lane + level)) & 1]
                 out.append(f"{chain(hs):016x}"[8:] if hs else "-")
         return ".".join(out)
 

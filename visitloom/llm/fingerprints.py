@@ -18,7 +18,7 @@ from .common import let, written
 
 #: All ASCII characters that are neither letters nor digits.
 APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-LANES, LEVELS = 4, 8
+LANES, LEVELS = 5, 12
 #: A text with fewer terms in the band is fingerprinted by all its terms.
 LEAST_TERMS = 8
 #: Largest lexicon that is sent to every task; beyond it texts are joined with it.
@@ -76,7 +76,7 @@ def signature(band: Column, every: Column, whole: Column) -> Column:
     def levels(hs, lane):
         # each list from the one before it
         def narrower(acc, level):
-            kept = F.filter(acc["hs"], lambda h: F.getbit(h, level + 16 * lane) == 0)
+            kept = F.filter(acc["hs"], lambda h: F.getbit(h, level + LEVELS * lane) == 0)
             digits = lambda k: F.when(F.size(k) > 0, F.right(_hex(F.xxhash64(k)), F.lit(8))).otherwise(EMPTY)
             return let(kept, lambda k: F.struct(k.alias("hs"), F.concat(acc["out"], F.array(digits(k))).alias("out")))
 
