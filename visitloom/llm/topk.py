@@ -151,8 +151,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", emb
     n, nq = v.agg(F.count("*"), F.count_if("q")).first()
     chunks = -(-n // min(CHUNK_ROWS, max(2048, -(-n // (3 * spark.sparkContext.defaultParallelism))))) or 1
     groups = -(-nq // QUERY_ROWS) or 1
-    # whatever the sample holds, floors from it are under the k-th score of all
-    seen = v.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE_ROWS, n // SAMPLE_EVERY)).collect()
+    # the sample holds candidates only: of an id the least vector, as below
+    some = v.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE_ROWS, n // SAMPLE_EVERY))
+    seen = v.join(F.broadcast(some), "id", "left_semi").groupBy("id", F.size("x").alias("n")).agg(F.min("x").alias("x")).collect()
     samples: dict[int, tuple] = {}
     for width in {len(r["x"]) for r in seen}:
         of = {r["id"]: r["x"] for r in seen if len(r["x"]) == width}
