@@ -74,15 +74,16 @@ def brute_top(rows, k=10):
     return sorted(out)
 
 
-def test_top_k_of_repeated_ids_with_a_sample(spark):
+@pytest.mark.parametrize("turn", [1, -1])
+def test_top_k_of_repeated_ids_with_a_sample(spark, turn):
     rng = np.random.default_rng(4)
     rows = []
     for i in range(1500):
         x = np.r_[0.1, rng.normal(size=8)]
         # the second vector is no candidate; with half of the queries it scores far above any
-        rows += [(i, [float(v) for v in y], 0) for y in (x, x * 100)]
+        rows += [(i, [float(v) for v in y], 0) for y in (x, x * 100)[::turn]]
     assert len(rows) // topk.SAMPLE_EVERY > 10
-    df = vectors_of(spark, rows).repartition(6)
+    df = vectors_of(spark, rows).repartition(1)
     assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0).select("query_id", "rank", "vec_id", "score").collect())) == brute_top(rows)
 
 
