@@ -153,8 +153,8 @@ def test_probe_and_lookup(spark):
 def test_resume_twice_is_resume_once(spark, tmp_path):
     src = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, v string")
     log, out = str(tmp_path / "log"), str(tmp_path / "out")
-    assert ingest.resume(spark, src, "id", lambda df: df, log, out) == 2
-    assert ingest.resume(spark, src, "id", lambda df: df, log, out) == 0
+    assert ingest.resume(spark, src, "id", lambda df: df, log, out) == (2, 0, 2, 2)
+    assert ingest.resume(spark, src, "id", lambda df: df, log, out) == (2, 2, 0, 2)
     assert spark.read.parquet(out).count() == 2 and sinks.processed_ids(spark, log).count() == 2
 
 

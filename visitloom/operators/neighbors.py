@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..session import ship_package
 from .pairs import blocked, blocks_for
+from .sampling import bottom_k
 
 #: Rows that are compared with a block at once.
 AT_ONCE = 64
@@ -102,3 +103,15 @@ def mean_similarity_closed(vectors: DataFrame, vec: str) -> DataFrame:
     s = u.groupBy("i").agg(F.sum("x").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("q"))
     n = vectors.agg(F.count("*").alias("n"), F.count_if(V.norm(V.doubles(F.col(vec))) > 0).alias("m"))
     return s.join(n).select("n", F.when(F.col("n") > 1, (F.col("q") - F.col("m")) / (F.col("n") * (F.col("n") - 1))).alias("average_similarity"))
+
+
+def baseline(terms: DataFrame, model: DataFrame, key: str, vec: str, mode: str = "terms", n: int = 300, seed: int = 42) -> DataFrame:
+    """n, average_similarity of a sample of ``n`` rows: what a similarity is measured against.
+
+    ``mode`` says of what: the vectors of the terms at hand, or all words that the model knows (``model_vocab``). Keys of either are unique; null vectors count as zero.
+    """
+    if mode not in ("terms", "model_vocab"):
+        raise ValueError(f"mode must be terms or model_vocab, not {mode}")
+    population = terms if mode == "terms" else model
+    sample = population.join(F.broadcast(bottom_k(population, key, n, seed)), key, "left_semi")
+    return mean_similarity_closed(sample, vec)

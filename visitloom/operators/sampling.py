@@ -15,6 +15,53 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(ticket(F.col(key), seed), key).limit(n)
 
 
+#: Samples of tasks that one task merges.
+FAN_IN = 32
+
+
+def bottom_k(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """The ``n`` distinct keys of least ticket, in one column: the sample of ``sample_n`` over a population that repeats keys and is too large to sort or to gather.
+
+    Each task keeps its ``n`` least tickets and hands on no more; samples are merged ``FAN_IN`` at a time, so no task meets more than that many. A repeated key
+    has one ticket and counts once. Null keys take no part; all keys if there are fewer.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def least(tables):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        kept = None
+        for t in tables:
+            t = pa.table(t) if kept is None else pa.concat_tables([kept, t])
+            t = t.group_by(["ticket", "k"]).aggregate([("grp", "min")]).rename_columns(["ticket", "k", "grp"])
+            kept = t.take(pc.select_k_unstable(t, n, [("ticket", "ascending"), ("k", "ascending")])) if t.num_rows > n else t
+        return kept
+
+    def of_task(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        kept = least(pa.table({"ticket": b.column(0), "k": b.column(1), "grp": pa.array([0] * b.num_rows, pa.int64())}) for b in batches)
+        if kept is not None:
+            grp = pa.array([TaskContext.get().partitionId() // FAN_IN] * kept.num_rows, pa.int64())
+            yield from kept.set_column(2, "grp", grp).to_batches()
+
+    def merged(t):
+        import pyarrow as pa
+
+        grp = t["grp"][0].as_py() // FAN_IN
+        kept = least([t.select(["ticket", "k", "grp"])])
+        return kept.set_column(2, "grp", pa.array([grp] * kept.num_rows, pa.int64()))
+
+    shape = f"ticket string, k {kind}, grp long"
+    out = df.where(F.col(key).isNotNull()).select(ticket(F.col(key), seed).alias("ticket"), F.col(key).alias("k")).mapInArrow(of_task, shape)
+    # three turns hold for 32 768 tasks with groups of at most FAN_IN samples, the sort below merges what is left of more
+    for _ in range(3):
+        out = out.groupBy("grp").applyInArrow(merged, shape)
+    return out.select("ticket", "k").distinct().orderBy("ticket", "k").limit(n).select(F.col("k").alias(key))
+
+
 def sample_per_group(df: DataFrame, group: list[str], key: str, n: int, seed: int = 42) -> DataFrame:
     w = Window.partitionBy(*group).orderBy(ticket(F.col(key), seed), key)
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")

@@ -120,6 +120,35 @@ def baseline_closed_form(spark, d):
     return neighbors.mean_similarity_closed(_vectors(spark, d), "embedding").select("n", F.round("average_similarity", 6).alias("average_similarity"))
 
 
+WORD_SIZE = 8
+
+
+def _word_vectors(spark, d):
+    """word, vec: the distinct words of the documents and of part names stand for what a model knows, digits of their hashes for its vectors."""
+    texts = A.table(spark, d, "documents").select("text").union(A.table(spark, d, "part").select("p_name"))
+    words = texts.select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("word")).where("word <> ''").distinct()
+    part = lambda i: F.conv(F.substring(F.md5("word"), F.lit(4 * i + 1), F.lit(4)), 16, 10).cast("double") / 32768.0 - 0.75
+    return words.select("word", F.array(*[part(i) for i in range(WORD_SIZE)]).alias("vec"))
+
+
+def baseline_model_vocab(spark, d):
+    """The average similarity of a sample of all words that the model knows, not only of the terms at hand."""
+    w = _word_vectors(spark, d)
+    return neighbors.baseline(w, w, "word", "vec", "model_vocab").select("n", F.round("average_similarity", 6).alias("average_similarity"))
+
+
+def normalized_by_vocab(spark, d):
+    """Similarity of part names that share a code over the average of the words that the model knows; a name's vector is the mean of its words'."""
+    model = _word_vectors(spark, d)
+    avg = neighbors.baseline(model, model, "word", "vec", "model_vocab").select("average_similarity")
+    p = _name_pairs(spark, d)
+    words = pairs.ends(p).select("term", F.explode(F.array_distinct(F.split(F.lower("term"), r"[^a-z]+"))).alias("word")).join(model, "word")
+    lib = words.groupBy("term").agg(F.array(*[F.avg(F.get("vec", F.lit(i))) for i in range(WORD_SIZE)]).alias("vec"))
+    both = pairs.with_vectors(p, lib, "term", "vec", "term", "counterpart")
+    both = both.select("term", "counterpart", VF.cosine(F.col("vec_1"), F.col("vec_2")).alias("cos")).join(F.broadcast(avg))
+    return both.select("term", "counterpart", F.round("cos", 6).alias("cosine_similarity"), F.round(VF.normalised_similarity(F.col("cos"), F.col("average_similarity")), 4).alias("normalized_similarity"))
+
+
 def _name_pairs(spark, d):
     t = A.table(spark, d, "part").select(F.col("p_name").alias("term"), F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")).alias("code"))
     return pairs.pairs_by_code(t)
@@ -142,7 +171,7 @@ def pool_by_label(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     clean_term_a, clean_term_b, clean_documents, code_pairs, rxnorm_map_join, medication_pairs, lonely_terms, synonym_pairs, term_vocab, pair_type_counts, group_examples, seeded_sample, similar_pairs,
-    dissimilar_pairs, pairwise_cosine, pairwise_euclidean, knn_topk, knn_euclidean, baseline_similarity, baseline_closed_form, normalized_similarity, pool_by_label)}
+    dissimilar_pairs, pairwise_cosine, pairwise_euclidean, knn_topk, knn_euclidean, baseline_similarity, baseline_closed_form, baseline_model_vocab, normalized_by_vocab, normalized_similarity, pool_by_label)}
 
 VEC = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
 COS = "list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e))"
@@ -165,7 +194,18 @@ def _sql_clean(raw: str, variant: str) -> str:
     return f"trim(regexp_replace({e}, '\\s+', ' ', 'g'))"
 
 
+WORDS = f"""words AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM (SELECT text FROM documents UNION ALL SELECT p_name FROM part)),
+wv AS MATERIALIZED (SELECT word, list_transform(range({WORD_SIZE}), lambda i: ('0x' || substr(md5(word), 4 * i::INT + 1, 4))::INT / 32768.0 - 0.75) AS e FROM words WHERE word <> ''),
+ws AS MATERIALIZED (SELECT * FROM wv ORDER BY md5(word || '|42'), word LIMIT 300), av AS (SELECT avg({COS}) AS m FROM ws a JOIN ws b ON a.word < b.word)"""
+
 SQL = {
+    "baseline_model_vocab": f"WITH {WORDS} SELECT (SELECT count(*) FROM ws) AS n, round(m, 6) AS average_similarity FROM av",
+    "normalized_by_vocab": f"""WITH {WORDS}, t AS (SELECT DISTINCT p_name AS term, p_brand || '-' || p_size AS code FROM part),
+p AS (SELECT DISTINCT x.term, y.term AS counterpart FROM t x JOIN t y ON x.code = y.code AND x.term < y.term),
+n AS (SELECT DISTINCT term, unnest(string_split_regex(lower(term), '[^a-z]+')) AS word FROM t),
+x AS (SELECT term, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM n JOIN wv USING (word)), y AS (SELECT term, i, avg(x) AS x FROM x GROUP BY 1, 2),
+lib AS (SELECT term, list(x ORDER BY i) AS e FROM y GROUP BY 1)
+SELECT p.term, counterpart, round({COS}, 6) AS cosine_similarity, round(({COS} - m) / m, 4) AS normalized_similarity FROM p JOIN lib a ON a.term = p.term JOIN lib b ON b.term = counterpart, av""",
     "clean_term_a": f"""SELECT p_partkey, {_sql_clean("'  ' || p_name || ', Unspecified (250.1); (HCC 12)  \"x\" initial encounter'", "A")} AS term FROM part""",
     "clean_term_b": f"""SELECT p_partkey, {_sql_clean("'  ' || p_name || ' 250.12 Unspecified (HCC 12); nos  x'", "B")} AS term FROM part""",
     "clean_documents": f"SELECT doc_id, md5({_sql_clean('text', 'B')}) AS digest FROM documents",

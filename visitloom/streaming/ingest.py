@@ -3,32 +3,60 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.records import processed, unprocessed
+from ..operators.records import processed
+from ..progress import counted
 from ..sources.sinks import log_processed, processed_ids, save_table
 
 
-def resume(spark: SparkSession, source: DataFrame, key: str, transform: Callable[[DataFrame], DataFrame], log: str, output: str) -> int:
-    """One round over a batch source. Running it twice gives what running it once gives; returns how many ids were new."""
-    todo = unprocessed(source, processed_ids(spark, log), key).select(key).distinct()
-    n = todo.count()
-    if n:
-        log_processed(todo, log)
-    save_table(transform(processed(source, processed_ids(spark, log), key)), output)
-    return n
+class Round(NamedTuple):
+    """What a round of ``resume`` met: rows of the source, rows skipped since the log has their id, ids that were new, rows written."""
 
+    rows: int
+    skipped: int
+    new: int
+    written: int
 
-def ingest_stream(stream: DataFrame, key: str, transform: Callable[[DataFrame], DataFrame], log: str, output: str, checkpoint: str):
+
+def _marked(source: DataFrame, key: str, done: DataFrame):
+    """The rows of new ids, with the columns of the source, and an observation of all rows and of those that the log has."""
+    ids = done.select(F.col("id").alias("__id"), F.lit(True).alias("__done")).distinct()
+    marked, met = counted(source.join(ids, F.col(key).cast("string") == F.col("__id"), "left"), skipped=F.count_if(F.col("__done")))
+    return marked.where(F.col("__done").isNull() & F.col(key).isNotNull()).drop("__id", "__done"), met
+
+
+def resume(spark: SparkSession, source: DataFrame, key: str, transform: Callable[[DataFrame], DataFrame], log: str, output: str) -> Round:
+    """One round over a batch source. Running it twice gives what running it once gives.
+
+    The counts are gathered by the two jobs that write the log and the output; nothing is read again for them. Rows without an id are met but neither logged nor written.
+    """
+    fresh, met = _marked(source, key, processed_ids(spark, log))
+    todo, new = counted(fresh.select(key).distinct())
+    log_processed(todo, log)
+    out, written = counted(transform(processed(source, processed_ids(spark, log), key)))
+    save_table(out, output)
+    return Round(met.get["rows"], met.get["skipped"], new.get["rows"], written.get["rows"])
+
+
+def ingest_stream(stream: DataFrame, key: str, transform: Callable[[DataFrame], DataFrame], log: str, output: str, checkpoint: str,
+                  report: Callable[[int, Round], None] | None = None):
     """The same for files that keep arriving: each micro-batch writes the rows of ids that the log does not have.
 
     A batch has a folder of its own, which a batch that runs again overwrites, and is logged last: a crash between the two writes repeats no row.
+    ``report`` gets the number of each batch and its counts, gathered by the jobs that write.
     """
     def batch(df: DataFrame, epoch: int) -> None:
-        new = unprocessed(df, processed_ids(df.sparkSession, log), key)
-        folder = f"{output}/epoch={epoch}"
-        transform(new).write.mode("overwrite").parquet(folder)
-        log_processed(new.select(key), log)
+        fresh, met = _marked(df, key, processed_ids(df.sparkSession, log))
+        out, written = counted(transform(fresh))
+        out.write.mode("overwrite").parquet(f"{output}/epoch={epoch}")
+        seen = met.get
+        ids, new = counted(fresh.select(key).distinct())
+        log_processed(ids, log)
+        if report:
+            report(epoch, Round(seen["rows"], seen["skipped"], new.get["rows"], written.get["rows"]))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
