@@ -22,7 +22,7 @@ def test_counts_come_from_the_job_itself(spark):
 
     df, seen = progress.counted(spark.range(1000).mapInPandas(touch, "id long"), odd=F.sum(F.col("id") % 2))
     df.write.format("noop").mode("overwrite").save()
-    assert seen.get == {"rows": 1000, "odd": 500} and calls.value == 1000
+    assert seen.get() == {"rows": 1000, "odd": 500} and calls.value == 1000
 
 
 def test_resume_counts_rows_and_skips_without_a_second_pass(spark, tmp_path):
@@ -40,6 +40,7 @@ def test_resume_counts_rows_and_skips_without_a_second_pass(spark, tmp_path):
     assert first == ingest.Round(rows=14, skipped=0, new=4, written=12) and reads.value == 12
     assert ingest.resume(spark, src, "id", through, log, out) == ingest.Round(rows=30, skipped=12, new=6, written=28)
     assert reads.value == 12 + 28 and spark.read.parquet(out).count() == 28
+    assert ingest.resume(spark, src, "id", through, log, out) == ingest.Round(rows=30, skipped=28, new=0, written=28)
     empty = ingest.resume(spark, src.limit(0), "id", through, log, out)
     assert empty == ingest.Round(0, 0, 0, 0)
 

@@ -6,15 +6,35 @@ import threading
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
-    """``df`` and an observation that has ``rows`` and the given aggregates once an action over ``df`` has ended."""
-    seen = Observation()
-    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()]), seen
+class Counts:
+    """Metrics of the first action over an observed table."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.observation = names, Observation()
+
+    def get(self) -> dict[str, int] | None:
+        """The metrics; None if the plan was found empty before it ran and what observes it was left out."""
+        try:
+            return self.observation.get
+        except Py4JJavaError as e:
+            if "AssertionError" not in str(e.java_exception):
+                raise
+            return None
+
+    def or_zero(self) -> dict[str, int]:
+        return self.get() or dict.fromkeys(self.names, 0)
+
+
+def counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Counts]:
+    """``df`` and counts that have ``rows`` and the given aggregates once an action over ``df`` has ended."""
+    seen = Counts(["rows", *metrics])
+    return df.observe(seen.observation, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()]), seen
 
 
 @dataclass(frozen=True)

@@ -8,8 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.records import processed
-from ..progress import counted
+from ..operators.records import unprocessed
+from ..progress import Counts, counted
 from ..sources.sinks import log_processed, processed_ids, save_table
 
 
@@ -22,11 +22,10 @@ class Round(NamedTuple):
     written: int
 
 
-def _marked(source: DataFrame, key: str, done: DataFrame):
-    """The rows of new ids, with the columns of the source, and an observation of all rows and of those that the log has."""
+def _marked(source: DataFrame, key: str, done: DataFrame) -> tuple[DataFrame, Counts]:
+    """``source`` with ``__done`` where the log has the id, and counts of all rows and of those."""
     ids = done.select(F.col("id").alias("__id"), F.lit(True).alias("__done")).distinct()
-    marked, met = counted(source.join(ids, F.col(key).cast("string") == F.col("__id"), "left"), skipped=F.count_if(F.col("__done")))
-    return marked.where(F.col("__done").isNull() & F.col(key).isNotNull()).drop("__id", "__done"), met
+    return counted(source.join(ids, F.col(key).cast("string") == F.col("__id"), "left").drop("__id"), skipped=F.count_if(F.col("__done")))
 
 
 def resume(spark: SparkSession, source: DataFrame, key: str, transform: Callable[[DataFrame], DataFrame], log: str, output: str) -> Round:
@@ -34,12 +33,14 @@ def resume(spark: SparkSession, source: DataFrame, key: str, transform: Callable
 
     The counts are gathered by the two jobs that write the log and the output; nothing is read again for them. Rows without an id are met but neither logged nor written.
     """
-    fresh, met = _marked(source, key, processed_ids(spark, log))
-    todo, new = counted(fresh.select(key).distinct())
+    done = processed_ids(spark, log)
+    todo, new = counted(unprocessed(source, done, key).select(key).where(F.col(key).isNotNull()).distinct())
     log_processed(todo, log)
-    out, written = counted(transform(processed(source, processed_ids(spark, log), key)))
+    # by now the log has every id
+    marked, met = _marked(source, key, done)
+    out, written = counted(transform(marked.where(F.col(key).isNotNull()).drop("__done")))
     save_table(out, output)
-    return Round(met.get["rows"], met.get["skipped"], new.get["rows"], written.get["rows"])
+    return Round(*met.or_zero().values(), new.or_zero()["rows"], written.or_zero()["rows"])
 
 
 def ingest_stream(stream: DataFrame, key: str, transform: Callable[[DataFrame], DataFrame], log: str, output: str, checkpoint: str,
@@ -50,13 +51,14 @@ def ingest_stream(stream: DataFrame, key: str, transform: Callable[[DataFrame],
     ``report`` gets the number of each batch and its counts, gathered by the jobs that write.
     """
     def batch(df: DataFrame, epoch: int) -> None:
-        fresh, met = _marked(df, key, processed_ids(df.sparkSession, log))
+        marked, met = _marked(df, key, processed_ids(df.sparkSession, log))
+        fresh = marked.where(F.col("__done").isNull() & F.col(key).isNotNull()).drop("__done")
         out, written = counted(transform(fresh))
         out.write.mode("overwrite").parquet(f"{output}/epoch={epoch}")
-        seen = met.get
+        seen = met.get() or {"rows": df.count(), "skipped": marked.where("__done").count()}
         ids, new = counted(fresh.select(key).distinct())
         log_processed(ids, log)
         if report:
-            report(epoch, Round(seen["rows"], seen["skipped"], new.get["rows"], written.get["rows"]))
+            report(epoch, Round(seen["rows"], seen["skipped"], new.or_zero()["rows"], written.or_zero()["rows"]))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
