@@ -11,12 +11,14 @@ import json
 import urllib.request
 from collections.abc import Callable, Iterable
 from typing import Protocol
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import prompts, text
 from ..session import ship_package
+from .clients import Busy, Retry, fetch, in_order
 
 
 class LLM(Protocol):
@@ -37,42 +39,45 @@ class StubLLM:
 
 
 class HttpLLM:
-    """A chat endpoint of the common kind; a failure becomes an ``ERROR:`` reply."""
+    """A chat endpoint of the common kind, asked again while it is busy or away; a lasting failure becomes an ``ERROR:`` reply."""
 
-    def __init__(self, url: str = "http://localhost:8000/v1/chat/completions", model: str = "medgemma", timeout: float = 60.0):
-        self.url, self.model, self.timeout = url, model, timeout
+    def __init__(self, url: str = "http://localhost:8000/v1/chat/completions", model: str = "medgemma", timeout: float = 60.0, retry: Retry = Retry()):
+        self.url, self.model, self.timeout, self.retry = url, model, timeout, retry
 
     def complete(self, prompt: str, max_tokens: int = 512, temperature: float = 0.7) -> str:
         body = {"model": self.model, "max_tokens": max_tokens, "temperature": temperature,
                 "messages": [{"role": "system", "content": prompts.SYSTEM}, {"role": "user", "content": prompt}]}
         request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"})
         try:
-            with urllib.request.urlopen(request, timeout=self.timeout) as reply:
-                return json.load(reply)["choices"][0]["message"]["content"]
-        except OSError as e:
+            return json.loads(self.retry.call(lambda: fetch(request, self.timeout), prompt))["choices"][0]["message"]["content"]
+        except (OSError, Busy) as e:
             return f"ERROR: the model service cannot be reached ({e})"
         except Exception as e:
             return f"ERROR: no usable reply from the model service ({e})"
 
 
 def complete(df: DataFrame, prompt: str, make: Callable[[], LLM] = StubLLM, max_tokens: int = 512, temperature: float = 0.7,
-             tries: int = 1, valid=None, partitions: int | None = None) -> DataFrame:
-    """``df`` with raw and cleaned reply to each prompt; each distinct prompt is asked once, up to ``tries`` times until ``valid(reply)``."""
+             tries: int = 1, valid=None, partitions: int | None = None, in_flight: int = 1) -> DataFrame:
+    """``df`` with raw and cleaned reply to each prompt; each distinct prompt is asked once, up to ``tries`` times until ``valid(reply)``.
+
+    Each task has at most ``in_flight`` questions out at once, so the service sees no more than that for every core.
+    """
     ship_package(df.sparkSession)
     asked = df.select(prompt).where(F.col(prompt).isNotNull()).distinct()
     asked = asked.repartition(partitions) if partitions else asked
 
     def ask(batches):
         llm = make()
-        for b in batches:
-            def one(p):
-                for _ in range(tries):
-                    reply = llm.complete(p, max_tokens, temperature)
-                    if valid is None or valid(reply):
-                        break
-                return reply
 
-            yield b.assign(raw=[one(p) for p in b[prompt]])
+        def one(p):
+            for _ in range(tries):
+                reply = llm.complete(p, max_tokens, temperature)
+                if valid is None or valid(reply):
+                    break
+            return reply
+
+        for b in batches:
+            yield b.assign(raw=list(in_order(one, b[prompt], in_flight)))
 
     replies = asked.mapInPandas(ask, f"{prompt} string, raw string")
     return df.join(replies, prompt, "left").withColumn("reply", text.clean_reply(F.col("raw")))
@@ -117,23 +122,42 @@ class HashingEmbedder:
         return out
 
 
-def embed(df: DataFrame, column: str, make: Callable[[], Embedder] = HashingEmbedder, batch: int = 128) -> DataFrame:
-    """``df`` with vec; each distinct text is encoded once, ``batch`` at a time, one embedder for each task."""
+def encoded(model: Embedder, texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
+    """(vector, error) of each text. A batch that fails is halved until the texts that cannot be encoded stand alone: all others keep their vectors."""
+    try:
+        vecs = [[float(x) for x in v] for v in model.encode(texts)]
+        if len(vecs) != len(texts):
+            raise ValueError(f"{len(vecs)} vectors for {len(texts)} texts")
+        return [(v, None) for v in vecs]
+    except Exception as e:
+        if len(texts) == 1:
+            return [(None, f"{type(e).__name__}: {e}"[:500])]
+    half = len(texts) // 2
+    return encoded(model, texts[:half]) + encoded(model, texts[half:])
+
+
+def embed(df: DataFrame, column: str, make: Callable[[], Embedder] = HashingEmbedder, batch: int = 128, errors: str | None = None) -> DataFrame:
+    """``df`` with vec; each distinct text is encoded once, ``batch`` at a time, one embedder for each task.
+
+    A text that the model cannot encode has a null vector and, in a column of the name ``errors``, the reason; it costs about ``2 log2(batch)`` more calls and no
+    other text its vector. A model that fails on every text so gives error rows only. Null texts have neither.
+    """
     def encode(batches):
         model = make()
         for b in batches:
-            texts, vecs = b[column].tolist(), []
+            texts, done = b[column].tolist(), []
             for k in range(0, len(texts), batch):
-                vecs += model.encode(texts[k: k + batch])
-            yield b.assign(vec=[[float(x) for x in v] for v in vecs])
+                done += encoded(model, texts[k: k + batch])
+            yield b.assign(vec=[v for v, _ in done], why=[e for _, e in done])
 
     ship_package(df.sparkSession)
-    library = df.select(column).where(F.col(column).isNotNull()).distinct().mapInPandas(encode, f"{column} string, vec array<double>")
+    library = df.select(column).where(F.col(column).isNotNull()).distinct().mapInPandas(encode, f"{column} string, vec array<double>, why string")
+    library = library.withColumnRenamed("why", errors) if errors else library.drop("why")
     return df.join(library, column, "left")
 
 
-def lookup(df: DataFrame, column: str, make: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """``df`` with raw: what a service replies to each distinct value; empty if it fails."""
+def lookup(df: DataFrame, column: str, make: Callable[[], Callable[[str], str]], in_flight: int = 1) -> DataFrame:
+    """``df`` with raw: what a service replies to each distinct value, at most ``in_flight`` asked at once in a task; empty if it fails."""
     def ask(batches):
         service = make()
 
@@ -144,23 +168,20 @@ def lookup(df: DataFrame, column: str, make: Callable[[], Callable[[str], str]])
                 return ""
 
         for b in batches:
-            yield b.assign(raw=[one(x) for x in b[column]])
+            yield b.assign(raw=list(in_order(one, b[column], in_flight)))
 
     ship_package(df.sparkSession)
     return df.join(df.select(column).distinct().mapInPandas(ask, f"{column} string, raw string"), column, "left")
 
 
 class Dictionary:
-    """A dictionary service: the JSON reply for a word."""
+    """A dictionary service: the JSON reply for a word, asked again while it is busy."""
 
-    def __init__(self, url: str = "https://api.dictionaryapi.dev/api/v2/entries/en/", timeout: float = 10.0):
-        self.url, self.timeout = url, timeout
+    def __init__(self, url: str = "https://api.dictionaryapi.dev/api/v2/entries/en/", timeout: float = 10.0, retry: Retry = Retry()):
+        self.url, self.timeout, self.retry = url, timeout, retry
 
     def __call__(self, word: str) -> str:
-        from urllib.parse import quote
-
-        with urllib.request.urlopen(self.url + quote(word), timeout=self.timeout) as r:
-            return r.read().decode()
+        return self.retry.call(lambda: fetch(self.url + quote(word), self.timeout), word).decode()
 
 
 def probe(spark: SparkSession, model_ids: Iterable[str], load: Callable[[str], object]) -> DataFrame:

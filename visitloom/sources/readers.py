@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
-from ..session import ship_package
 from ..stages import exists
+from .wordvectors import word_vectors_binary  # noqa: F401
 
 
 def flat_csv(spark: SparkSession, path: str, ddl: str, drop_malformed: bool = True) -> DataFrame:
@@ -72,31 +70,6 @@ def word_vectors_text(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.get("p", F.lit(0)).alias("word"), F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: x.try_cast("double")).alias("vec"))
 
 
-def word_vectors_binary(spark: SparkSession, path: str) -> DataFrame:
-    """The binary format: a header ``count size``, then each word, a space and its floats."""
-    def parse(batches):
-        import numpy as np
-        import pandas as pd
-
-        for b in batches:
-            for content in b["content"]:
-                head, at = content.index(b"\n"), 0
-                count, size = map(int, content[:head].split())
-                at, rows = head + 1, []
-                for _ in range(count):
-                    end = content.index(b" ", at)
-                    word = content[at:end].lstrip(b"\n").decode("utf-8", "replace")
-                    rows.append((word, np.frombuffer(content, "<f4", size, end + 1).astype(float).tolist()))
-                    at = end + 1 + struct.calcsize("<f") * size
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=["word", "vec"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["word", "vec"])
-
-    ship_package(spark)
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, schema.WORD_VECTOR)
-
-
 def rows_where(df: DataFrame, column: str, value) -> DataFrame:
     """The point query: a literal, never text pasted into SQL."""
     return df.where(F.col(column) == F.lit(value))
