@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .sampling import ticket
+from .stats import average_rank
 
 
 class GRU:
@@ -63,10 +65,42 @@ def encode_sentences(windows: DataFrame, sentence_window: str = "window") -> Dat
     return embed(joined, "history").drop("history")
 
 
-def readmission_model(examples: DataFrame, vec: str = "vec", label: str = "readmitted"):
-    """A logistic regression from patient vectors to readmission: the baseline that encoders are to beat."""
+def split_by_patient(examples: DataFrame, patient: str = "patient_id", test_share: float = 0.25, seed: int = 42) -> DataFrame:
+    """``examples`` with split, ``train`` or ``test``: all examples of a patient on one side, by a hash of the patient."""
+    part = F.conv(F.substring(ticket(F.col(patient), seed), 1, 8), 16, 10).cast("double") / 2.0**32
+    return examples.withColumn("split", F.when(part < test_share, "test").otherwise("train"))
+
+
+def readmission_model(examples: DataFrame, vec: str = "vec", label: str = "readmitted", regularisation: float = 0.01):
+    """A fitted pipeline from patient vectors to readmission, scaled and logistic: the baseline that encoders are to beat.
+
+    Examples without a label or a vector take no part. Both labels must be there.
+    """
+    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+
+    steps = [StandardScaler(inputCol="features", outputCol="scaled", withMean=True), LogisticRegression(featuresCol="scaled", maxIter=50, regParam=regularisation)]
+    return Pipeline(stages=steps).fit(_features(examples.where(F.col(label).isNotNull()), vec).withColumn("label", F.col(label).cast("double")))
+
+
+def _features(examples: DataFrame, vec: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
-    data = examples.where(F.col(label).isNotNull()).select(array_to_vector(F.col(vec)).alias("features"), F.col(label).cast("double").alias("label"))
-    return LogisticRegression(maxIter=50, regParam=0.01).fit(data)
+    return examples.where(F.col(vec).isNotNull()).withColumn("features", array_to_vector(F.col(vec)))
+
+
+def readmission_scores(model, examples: DataFrame, vec: str = "vec") -> DataFrame:
+    """``examples`` that have a vector, with the probability of readmission."""
+    from pyspark.ml.functions import vector_to_array
+
+    scored = model.transform(_features(examples, vec))
+    return scored.select(*examples.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
+
+
+def auc(scored: DataFrame, label: str = "readmitted", score: str = "probability") -> DataFrame:
+    """n, positives, auc: the chance that a positive has the larger score, ties counted half, from average ranks. Null if there is only one label."""
+    r = average_rank(scored.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), F.col(score).alias("s")), "s", "r")
+    t = r.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).cast("bigint").alias("positives"), F.sum(F.col("r") * F.col("y")).alias("sum"))
+    n, p = F.col("n"), F.col("positives")
+    return t.select("n", "positives", F.when((p > 0) & (p < n), (F.col("sum") - p * (p + 1) / 2) / (p * (n - p))).alias("auc"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from ..functions import prompts, text
 from ..functions import vectors as VF
-from ..operators import encoders, matching, models, neighbors, pairs, sampling, stats
+from ..operators import encoders, matching, models, neighbors, pairs, pathways, sampling, stats
 from ..operators import visits as V
 from ..sources import adapters as A
 from .history import ITEMS, N, SENTENCES, VISITS
@@ -160,8 +161,10 @@ def _first_windows(spark, d):
 
 
 def embed_stub(spark, d):
-    e = encoders.encode_sentences(_windows(spark, d))
-    return e.select("patient_id", "visit_idx", F.round(VF.norm(F.col("vec")), 6).alias("norm"), F.size("vec").alias("size"))
+    """Every window as a vector: its norm and its largest component."""
+    e = encoders.encode_sentences(_windows(spark, d)).withColumn("most", F.array_max("vec"))
+    return e.select("patient_id", "visit_idx", F.round(VF.norm(F.col("vec")), 6).alias("norm"), F.size("vec").alias("size"),
+                    F.array_position("vec", F.col("most")).cast("int").alias("at"), F.round("most", 6).alias("most"))
 
 
 def gru_stub(spark, d):
@@ -198,9 +201,44 @@ def predict_stub(spark, d):
     return p.select("patient_id", F.array_join("predicted_visit.diagnoses", ",").alias("diagnoses"), F.array_join("predicted_visit.medications", ",").alias("medications"), "parse_error")
 
 
+def _examples(spark, d):
+    """patient_id, visit_idx, split, readmitted, vec: what a visit and the time before it say of the next one."""
+    sizes = [F.size(c).cast("double") for c in CATEGORIES]
+    v = V.readmissions(A.visit_names(spark, d), F.col("start").cast("date"), days=90)
+    before = F.datediff(F.col("start").cast("date"), F.lag(F.col("start").cast("date")).over(Window.partitionBy("patient_id").orderBy("visit_idx")))
+    vec = F.array(*sizes, F.col("visit_idx").cast("double"), F.coalesce(before, F.lit(0)).cast("double"))
+    return encoders.split_by_patient(v.select("patient_id", "visit_idx", "readmitted", vec.alias("vec")).where("readmitted IS NOT NULL"))
+
+
+def readmission_examples(spark, d):
+    return _examples(spark, d).select("patient_id", "visit_idx", "split", "readmitted", F.array_join(F.transform("vec", lambda x: x.cast("int").cast("string")), ",").alias("features"))
+
+
+def readmission_training(spark, d):
+    """Probabilities of the patients that the model has not seen."""
+    e = _examples(spark, d)
+    model = encoders.readmission_model(e.where("split = 'train'"))
+    return encoders.readmission_scores(model, e.where("split = 'test'")).select("patient_id", "visit_idx", "readmitted", "probability")
+
+
+def readmission_auc(spark, d):
+    """How well the days since the last visit alone order the patients of the test side, by average ranks."""
+    e = _examples(spark, d).where("split = 'test'").withColumn("days", -F.get("vec", F.lit(4)))
+    return encoders.auc(e, score="days").select("n", "positives", F.round("auc", 9).alias("auc"))
+
+
+def pathway_narratives(spark, d):
+    """Narratives of first windows with their key diagnosis; no agent is installed here, so no text has a pathway."""
+    v = A.visit_names(spark, d).withColumn("sentence", text.sentence(F.col("diagnoses"), F.col("medications"), F.col("treatments")))
+    w = V.windows(v, F.struct("sentence", "diagnoses"), N).where(F.col("end_idx") == N - 1)
+    h = w.select("patient_id", F.transform("window", lambda x: x["sentence"]).alias("sentences"), F.transform("window", lambda x: x["diagnoses"]).alias("diagnoses"))
+    p = pathways.pathway_narratives(h, visits_told=N - 1)
+    return p.select("patient_id", "narrative", "diagnosis", "pathway")
+
+
 QUERIES = {f.__name__: f for f in (
     idf_registry, greedy_match_pairs, greedy_match_score, greedy_match_input_order, spearman_metrics, regression_overlay, metric_histogram, kde_by_model, symmetric_matrix, sampled_pair_metrics, similarity_by_bucket, neighbor_keys, square_similarity,
-    llm_score_parse, response_clean, prompt_text, neighbor_history, embed_stub, gru_stub, relevance_stub, predict_stub)}
+    llm_score_parse, response_clean, prompt_text, readmission_examples, readmission_training, readmission_auc, pathway_narratives, neighbor_history, embed_stub, gru_stub, relevance_stub, predict_stub)}
 
 LONG = f"""{VISITS}, {ITEMS}, pat AS (SELECT patient_id FROM visits GROUP BY 1 HAVING count(*) > {N}),
 terms AS (SELECT patient_id, CASE visit_idx WHEN {N} THEN 'actual' ELSE 'predicted' END AS section, category, lower(name) AS term,
@@ -219,7 +257,45 @@ st AS (SELECT patient_id, category, c, m, 1 AS step, []::BIGINT[] AS used, NULL:
   (SELECT *, list_filter(c, lambda z: z.ai = step AND NOT list_contains(used, z.pi))[1] AS x FROM st WHERE step <= m)),
 m AS (SELECT patient_id, category, b.a AS actual_term, b.p AS predicted_term, b.w AS weighted_score FROM st WHERE b IS NOT NULL)"""
 MAIN, INPUT = GREEDY.format(order="idf DESC, pos"), GREEDY.format(order="pos")
+EXAMPLES = f"""{VISITS}, {ITEMS}, k AS (SELECT encounter_id, count(*) FILTER (category = 'diagnoses') AS a, count(*) FILTER (category = 'medications') AS b, count(*) FILTER (category = 'treatments') AS c FROM items GROUP BY 1),
+x AS (SELECT patient_id, visit_idx, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(c, 0) AS c, date_diff('day', CAST(start AS DATE), lead(CAST(start AS DATE)) OVER w) AS after,
+  coalesce(date_diff('day', lag(CAST(start AS DATE)) OVER w, CAST(start AS DATE)), 0) AS before FROM visits v LEFT JOIN k ON v.encounter_id = k.encounter_id WINDOW w AS (PARTITION BY patient_id ORDER BY visit_idx)),
+ex AS (SELECT *, CAST(after <= 90 AS INT) AS readmitted, CASE WHEN ('0x' || substr(md5(patient_id || '|42'), 1, 8))::BIGINT / 4294967296.0 < 0.25 THEN 'test' ELSE 'train' END AS split FROM x WHERE after IS NOT NULL)"""
+
+def _hash_mod(p: str, m: int, shift: int = 0) -> str:
+    """The hash of a text, moved right by whole bytes, modulo m: the stand-in model's replies depend on it. Its last 16 digits and those before are taken apart."""
+    hexes = f"substr(md5({p}), 1, {32 - shift // 4})"
+    return f"(('0x' || substr({hexes}, 1, {16 - shift // 4}))::UBIGINT % {m} * {2**64 % m} + ('0x' || right({hexes}, 16))::UBIGINT % {m}) % {m}"
+
+
+SUMMARY = "'A history of ' || (length({p}) - length(replace({p}, 'Visit ', ''))) // 6 || ' visits (' || " + _hash_mod("{p}", 1000) + " || ').'"
+PROMPT = "'" + prompts.NARRATIVE.replace("'", "''") + "' || array_to_string(list_transform({s}[1:{n}], lambda x, i: chr(10) || 'Visit ' || (i - 1) || ':' || chr(10) || x || chr(10)), '')"
+TOLD = f"""{SENTENCES}, {VEC}, t AS (SELECT patient_id, list(sentence ORDER BY visit_idx) FILTER (visit_idx < {N}) AS s, count(*) AS n FROM sentences GROUP BY 1 HAVING count(*) >= {N}),
+q AS (SELECT patient_id, n, {PROMPT.format(s="s", n=N - 1)} AS p FROM t), nar AS MATERIALIZED (SELECT patient_id, n, {SUMMARY.format(p="p")} AS text FROM q),
+k AS (SELECT a.vec_id, b.vec_id AS neighbor, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.e, b.e), 9), b.vec_id) AS rank FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+near AS (SELECT CAST(vec_id AS VARCHAR) AS patient_id, rank, patient_id AS neighbor_id, text AS other FROM k JOIN nar ON patient_id = CAST(neighbor AS VARCHAR) WHERE rank <= {RunConfig().num_neighbors})"""
+PREDICT = "'" + prompts.PREDICTION.replace("'", "''").replace("{history}", "' || text || '").replace("{neighbors}", "' || coalesce(cases, '" + prompts.NO_NEIGHBORS + "') || '") + "'"
+
 SQL = {
+    "embed_stub": f"""WITH {SENTENCES}, w AS (SELECT patient_id, visit_idx, string_agg(sentence, ' | ') OVER (PARTITION BY patient_id ORDER BY visit_idx ROWS {N - 1} PRECEDING) AS history FROM sentences),
+u AS (SELECT patient_id, visit_idx, md5(unnest(string_split_regex(trim(lower(history)), '\\s+'))) AS m FROM w WHERE visit_idx >= {N - 1}),
+c AS (SELECT patient_id, visit_idx, ('0x' || substr(m, 15, 2))::INT % 64 AS slot, sum(CASE WHEN ('0x' || substr(m, 8, 1))::INT % 2 = 1 THEN 1.0 ELSE -1.0 END) AS x FROM u GROUP BY ALL),
+z AS (SELECT patient_id, visit_idx, slot, x FROM c UNION ALL SELECT DISTINCT patient_id, visit_idx, s::INT, 0.0 FROM c, range(64) r(s)),
+g AS (SELECT patient_id, visit_idx, slot, sum(x) AS x FROM z GROUP BY ALL), n AS (SELECT patient_id, visit_idx, sqrt(sum(x * x)) AS n, max(x) AS m FROM g GROUP BY ALL)
+SELECT n.patient_id, n.visit_idx, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm, 64 AS size, (min(slot) FILTER (x = m) + 1)::INT AS at, round(m / n, 6) AS most FROM g JOIN n ON g.patient_id = n.patient_id AND g.visit_idx = n.visit_idx GROUP BY n.patient_id, n.visit_idx, n, m""",
+    "relevance_stub": f"""WITH {TOLD}, r AS (SELECT near.patient_id, neighbor_id, '{prompts.RELEVANCE}Patient Narrative:' || chr(10) || text || chr(10) || chr(10) || 'Neighbor Narrative:' || chr(10) || other || chr(10) || chr(10) || 'Relevance Score (0-9):' AS p
+  FROM near JOIN nar ON near.patient_id = nar.patient_id AND n > {N})
+SELECT patient_id, neighbor_id AS n, ({_hash_mod("p", 10)})::DOUBLE AS llm_relevance_score FROM r""",
+    "predict_stub": f"""WITH {TOLD}, c AS (SELECT patient_id, string_agg('[Neighbor: ' || neighbor_id || ']' || chr(10) || other, chr(10) || chr(10) ORDER BY rank) AS cases FROM near GROUP BY 1),
+r AS (SELECT nar.patient_id, {PREDICT} AS p FROM nar LEFT JOIN c ON c.patient_id = nar.patient_id WHERE n > {N})
+SELECT patient_id, 'item ' || {_hash_mod("p", 97)} AS diagnoses, 'item ' || {_hash_mod("p", 97, 8)} AS medications, NULL::VARCHAR AS parse_error FROM r""",
+    "readmission_examples": f"WITH {EXAMPLES} SELECT patient_id, visit_idx, split, readmitted, concat_ws(',', a, b, c, visit_idx, before) AS features FROM ex",
+    "readmission_auc": f"""WITH {EXAMPLES}, r AS (SELECT readmitted AS y, rank() OVER (ORDER BY -before) + (count(*) OVER (PARTITION BY before) - 1) / 2.0 AS r FROM ex WHERE split = 'test')
+SELECT count(*) AS n, sum(y)::BIGINT AS positives, round((sum(r * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 9) AS auc FROM r""",
+    "pathway_narratives": f"""WITH {SENTENCES}, f AS (SELECT encounter_id, arg_min(name, (line, part, name)) AS first FROM items WHERE category = 'diagnoses' GROUP BY 1),
+w AS (SELECT patient_id, list(sentence ORDER BY visit_idx) AS s, arg_max(first, visit_idx) FILTER (first IS NOT NULL) AS diagnosis FROM sentences s LEFT JOIN f ON s.encounter_id = f.encounter_id WHERE visit_idx < {N} GROUP BY 1 HAVING count(*) = {N}),
+p AS (SELECT patient_id, diagnosis, {PROMPT.format(s="s", n=N - 1)} AS p FROM w)
+SELECT patient_id, {SUMMARY.format(p="p")} AS narrative, diagnosis, NULL::VARCHAR AS pathway FROM p""",
     "idf_registry": f"WITH {LONG} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "greedy_match_pairs": f"{MAIN} SELECT patient_id, category, actual_term, predicted_term, round(weighted_score, 6) AS weighted_score FROM m",
     "greedy_match_score": f"""{MAIN}, s AS (SELECT patient_id, category, sum(weighted_score) AS s FROM m GROUP BY 1, 2)
