@@ -83,19 +83,19 @@ def complete(df: DataFrame, prompt: str, make: Callable[[], LLM] = StubLLM, max_
     return df.join(replies, prompt, "left").withColumn("reply", text.clean_reply(F.col("raw")))
 
 
-def relevance(pairs: DataFrame, patient: str, neighbor: str, make: Callable[[], LLM] = StubLLM, tries: int = 5) -> DataFrame:
+def relevance(pairs: DataFrame, patient: str, neighbor: str, make: Callable[[], LLM] = StubLLM, tries: int = 5, in_flight: int = 1) -> DataFrame:
     """``pairs`` with llm_relevance_score; 0.0 if no try gives a digit."""
     def has_score(reply):
         return not reply.startswith("ERROR:") and any(c.isdigit() for c in reply)
 
-    asked = complete(pairs.withColumn("prompt", prompts.relevance(F.col(patient), F.col(neighbor))), "prompt", make, tries=tries, valid=has_score)
+    asked = complete(pairs.withColumn("prompt", prompts.relevance(F.col(patient), F.col(neighbor))), "prompt", make, tries=tries, valid=has_score, in_flight=in_flight)
     return asked.withColumn("llm_relevance_score", F.coalesce(text.score_of(F.col("raw")), F.lit(0.0))).drop("prompt", "raw", "reply")
 
 
-def predict(patients: DataFrame, history: str, neighbors: str, make: Callable[[], LLM] = StubLLM, tries: int = 1) -> DataFrame:
+def predict(patients: DataFrame, history: str, neighbors: str, make: Callable[[], LLM] = StubLLM, tries: int = 1, in_flight: int = 1) -> DataFrame:
     """``patients`` with predicted_visit, and parse_error where the reply holds none; the raw reply is parsed, cleaning would eat its lists."""
     asked = patients.withColumn("prompt", prompts.prediction(F.col(history), F.col(neighbors)))
-    done = complete(asked, "prompt", make, max_tokens=1024, tries=tries, valid=lambda r: "```json" in r)
+    done = complete(asked, "prompt", make, max_tokens=1024, tries=tries, valid=lambda r: "```json" in r, in_flight=in_flight)
     done = done.withColumn("predicted_visit", text.prediction_of(F.col("raw")))
     return done.withColumn("parse_error", F.when(F.col("predicted_visit").isNull(), F.concat(F.lit("no prediction in: "), F.substring("raw", 1, 200)))).drop("prompt", "reply")
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..config import RunConfig
 from ..functions import prompts, text
 from ..functions import vectors as VF
+from ..operators import calibration as calibrate
 from ..operators import encoders, matching, models, neighbors, pairs, pathways, sampling, stats
 from ..operators import visits as V
 from ..sources import adapters as A
-from .history import ITEMS, N, SENTENCES, VISITS
-from .termsets import COS, VEC
+from .history import ITEMS, N, SENTENCES, VISITS, buckets
+from .termsets import BUCKETS, COS, VEC
 
 
 CATEGORIES = ("diagnoses", "medications", "treatments")
@@ -160,6 +161,30 @@ def _first_windows(spark, d):
     return _windows(spark, d).join(_patients(spark, d), "patient_id", "left_semi").where(F.col("end_idx") == N - 1)
 
 
+def _lives(spark, d, only=None):
+    """patient_id, narrative, vec of the whole history of every patient, or of those of a sample."""
+    v = A.sentences(spark, d)
+    v = v if only is None else v.join(F.broadcast(only), "patient_id", "left_semi")
+    v = v.groupBy("patient_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("visit_idx", "sentence"))), lambda x: x["sentence"]).alias("s"))
+    told = models.complete(v.withColumn("prompt", prompts.narrative(F.col("s"), 1 << 20)), "prompt").withColumn("history", F.array_join("s", " | "))
+    return models.embed(told, "history").select("patient_id", F.col("reply").alias("narrative"), "vec")
+
+
+def calibration(spark, d):
+    """Pairs of one and of two chapters, by the model's score and by the likeness of their histories."""
+    lives = _lives(spark, d)
+    c = calibrate.calibrate(buckets(spark, d), lives.select("patient_id", "vec"), lives.select("patient_id", "narrative"))
+    return c.withColumn("cosine_similarity", F.round("cosine_similarity", 6))
+
+
+def pair_metrics_llm(spark, d):
+    """All three metrics of every pair of a sample of patients."""
+    some = sampling.sample_n(A.persons(spark, d).select(F.col("person_id").alias("patient_id")), "patient_id", 60)
+    lives = _lives(spark, d, some)
+    m = calibrate.pair_metrics(lives.select("patient_id", "vec"), lives.select("patient_id", "narrative"), "patient_id", "vec")
+    return m.select("patient_id_1", "patient_id_2", F.round("cosine_similarity", 6).alias("cosine_similarity"), F.round("euclidean_distance", 6).alias("euclidean_distance"), "llm_relevance_score")
+
+
 def embed_stub(spark, d):
     """Every window as a vector: its norm and its largest component."""
     e = encoders.encode_sentences(_windows(spark, d)).withColumn("most", F.array_max("vec"))
@@ -238,7 +263,7 @@ def pathway_narratives(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     idf_registry, greedy_match_pairs, greedy_match_score, greedy_match_input_order, spearman_metrics, regression_overlay, metric_histogram, kde_by_model, symmetric_matrix, sampled_pair_metrics, similarity_by_bucket, neighbor_keys, square_similarity,
-    llm_score_parse, response_clean, prompt_text, readmission_examples, readmission_training, readmission_auc, pathway_narratives, neighbor_history, embed_stub, gru_stub, relevance_stub, predict_stub)}
+    llm_score_parse, response_clean, prompt_text, readmission_examples, readmission_training, readmission_auc, pathway_narratives, neighbor_history, calibration, pair_metrics_llm, embed_stub, gru_stub, relevance_stub, predict_stub)}
 
 LONG = f"""{VISITS}, {ITEMS}, pat AS (SELECT patient_id FROM visits GROUP BY 1 HAVING count(*) > {N}),
 terms AS (SELECT patient_id, CASE visit_idx WHEN {N} THEN 'actual' ELSE 'predicted' END AS section, category, lower(name) AS term,
@@ -275,8 +300,29 @@ q AS (SELECT patient_id, n, {PROMPT.format(s="s", n=N - 1)} AS p FROM t), nar AS
 k AS (SELECT a.vec_id, b.vec_id AS neighbor, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.e, b.e), 9), b.vec_id) AS rank FROM v a JOIN v b ON a.vec_id <> b.vec_id),
 near AS (SELECT CAST(vec_id AS VARCHAR) AS patient_id, rank, patient_id AS neighbor_id, text AS other FROM k JOIN nar ON patient_id = CAST(neighbor AS VARCHAR) WHERE rank <= {RunConfig().num_neighbors})"""
 PREDICT = "'" + prompts.PREDICTION.replace("'", "''").replace("{history}", "' || text || '").replace("{neighbors}", "' || coalesce(cases, '" + prompts.NO_NEIGHBORS + "') || '") + "'"
+LIVES = f"""t AS (SELECT patient_id, list(sentence ORDER BY visit_idx) AS s FROM sentences GROUP BY 1),
+q AS (SELECT patient_id, s, {PROMPT.format(s="s", n=1 << 20)} AS p FROM t), nar AS MATERIALIZED (SELECT patient_id, {SUMMARY.format(p="p")} AS text FROM q),
+u AS (SELECT patient_id, md5(unnest(string_split_regex(trim(lower(array_to_string(s, ' | '))), '\\s+'))) AS m FROM t),
+hv AS MATERIALIZED (SELECT patient_id, ('0x' || substr(m, 15, 2))::INT % 64 AS slot, sum(CASE WHEN ('0x' || substr(m, 8, 1))::INT % 2 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM u GROUP BY ALL),
+hn AS (SELECT patient_id, sqrt(sum(x * x)) AS n FROM hv GROUP BY 1)"""
+COSINE = "(SELECT coalesce(sum(a.x * b.x), 0) FROM hv a JOIN hv b ON a.slot = b.slot WHERE a.patient_id = {a} AND b.patient_id = {b}) / (x.n * y.n)"
+ASKED = "'" + prompts.RELEVANCE + "Patient Narrative:' || chr(10) || {a} || chr(10) || chr(10) || 'Neighbor Narrative:' || chr(10) || {b} || chr(10) || chr(10) || 'Relevance Score (0-9):'"
 
 SQL = {
+    "calibration": f"""WITH {SENTENCES}, {BUCKETS.replace(ITEMS + ", ", "").replace("t AS (SELECT * FROM s WHERE", "b10 AS (SELECT * FROM s WHERE")}, {LIVES},
+sp AS (SELECT a.chapter, a.patient_id AS patient_1, b.patient_id AS patient_2 FROM b10 a JOIN b10 b ON a.chapter = b.chapter AND a.patient_id < b.patient_id),
+sr AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY md5(patient_1 || '-' || patient_2 || '|42'), patient_1, patient_2) AS rk FROM sp),
+dp AS (SELECT DISTINCT least(a.patient_id, b.patient_id) AS patient_1, greatest(a.patient_id, b.patient_id) AS patient_2 FROM b10 a JOIN b10 b ON a.chapter < b.chapter AND a.patient_id <> b.patient_id),
+kp AS MATERIALIZED (SELECT DISTINCT 'similar' AS pair_type, patient_1, patient_2 FROM sr WHERE rk <= 5 UNION ALL
+  SELECT 'dissimilar', patient_1, patient_2 FROM (SELECT * FROM dp ORDER BY md5(patient_1 || '-' || patient_2 || '|42'), patient_1, patient_2 LIMIT 50)),
+z AS (SELECT kp.*, {ASKED.format(a="f.text", b="g.text")} AS p FROM kp JOIN nar f ON f.patient_id = patient_1 JOIN nar g ON g.patient_id = patient_2)
+SELECT pair_type, patient_1, patient_2, ({_hash_mod("p", 10)})::DOUBLE AS llm_relevance_score, round({COSINE.format(a="patient_1", b="patient_2")}, 6) AS cosine_similarity
+FROM z JOIN hn x ON x.patient_id = patient_1 JOIN hn y ON y.patient_id = patient_2""",
+    "pair_metrics_llm": f"""WITH {SENTENCES}, {LIVES}, chosen AS MATERIALIZED (SELECT CAST(c_custkey AS VARCHAR) AS patient_id FROM customer ORDER BY md5(c_custkey || '|42'), 1 LIMIT 60),
+kp AS (SELECT f.patient_id AS patient_1, g.patient_id AS patient_2, {ASKED.format(a="f.text", b="g.text")} AS p FROM nar f JOIN nar g ON f.patient_id < g.patient_id
+  WHERE f.patient_id IN (SELECT patient_id FROM chosen) AND g.patient_id IN (SELECT patient_id FROM chosen)),
+z AS (SELECT patient_1, patient_2, p, {COSINE.format(a="patient_1", b="patient_2")} AS c FROM kp JOIN hn x ON x.patient_id = patient_1 JOIN hn y ON y.patient_id = patient_2)
+SELECT patient_1 AS patient_id_1, patient_2 AS patient_id_2, round(c, 6) AS cosine_similarity, round(sqrt(greatest(2 - 2 * c, 0)), 6) AS euclidean_distance, ({_hash_mod("p", 10)})::DOUBLE AS llm_relevance_score FROM z""",
     "embed_stub": f"""WITH {SENTENCES}, w AS (SELECT patient_id, visit_idx, string_agg(sentence, ' | ') OVER (PARTITION BY patient_id ORDER BY visit_idx ROWS {N - 1} PRECEDING) AS history FROM sentences),
 u AS (SELECT patient_id, visit_idx, md5(unnest(string_split_regex(trim(lower(history)), '\\s+'))) AS m FROM w WHERE visit_idx >= {N - 1}),
 c AS (SELECT patient_id, visit_idx, ('0x' || substr(m, 15, 2))::INT % 64 AS slot, sum(CASE WHEN ('0x' || substr(m, 8, 1))::INT % 2 = 1 THEN 1.0 ELSE -1.0 END) AS x FROM u GROUP BY ALL),
