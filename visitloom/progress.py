@@ -47,14 +47,13 @@ class Tasks:
 
 
 class Progress:
-    """Calls ``report`` with ``Tasks`` every ``seconds`` while jobs of this application run, and once at the end.
+    """Calls ``report`` with ``Tasks`` every ``seconds`` while the block lasts, and once at its end, over the jobs of the application that ran meanwhile.
 
-    Jobs are told by ``tag``: only those that the block starts are looked at. What is reported never goes back within a block: stages that have ended are
-    kept at their full count.
+    Stages that have ended are kept at their full count, so tasks that are done never go back.
     """
 
-    def __init__(self, spark: SparkSession, report: Callable[[Tasks], None], seconds: float = 1.0, tag: str = "visitloom-progress"):
-        self.spark, self.report, self.seconds, self.tag = spark, report, seconds, tag
+    def __init__(self, spark: SparkSession, report: Callable[[Tasks], None], seconds: float = 1.0):
+        self.spark, self.report, self.seconds = spark, report, seconds
         self._stages: dict[int, tuple[int, int, int]] = {}
         self._over = threading.Event()
 
@@ -75,7 +74,6 @@ class Progress:
             self.report(self.look())
 
     def __enter__(self) -> "Progress":
-        self.spark.addTag(self.tag)
         self._thread = InheritableThread(target=self._watch, daemon=True)
         self._thread.start()
         return self
@@ -83,5 +81,4 @@ class Progress:
     def __exit__(self, *error) -> None:
         self._over.set()
         self._thread.join()
-        self.spark.removeTag(self.tag)
         self.report(self.look())

@@ -14,8 +14,10 @@ def save_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def export_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def export_json(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    """JSON lines; ``partition_by`` gives a folder for each model and category, say."""
+    w = df.write.mode("overwrite")
+    (w.partitionBy(*partition_by) if partition_by else w).json(path)
 
 
 def export_csv(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("category", "model")) -> None:
