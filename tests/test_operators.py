@@ -60,6 +60,32 @@ def test_all_pairs_and_neighbors_match_numpy(spark):
     assert abs(closed - neighbors.mean_similarity(df, "k", "v").first()["average_similarity"]) < 1e-9
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_pairs_and_neighbors_with_ties_and_copies(spark, metric, blocks):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-1, 2, (60, 4)).astype(float)
+    x[10] = x[11] + 1e-9
+    x[20:30] = 1e6 + np.arange(10)[:, None] * 1e-3
+    keys = [f"k{i:02d}" for i in rng.permutation(60)]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, x)], "k string, v array<double>")
+    away = np.linalg.norm(x[:, None] - x[None], axis=2)
+    n = np.linalg.norm(x, axis=1)
+    with np.errstate(all="ignore"):
+        cos = np.where(np.outer(n, n) == 0, 0.0, x @ x.T / np.outer(n, n))
+    got = {(r["k_1"], r["k_2"]): r for r in neighbors.pairwise_metrics(df, "k", "v", blocks).collect()}
+    want = {tuple(sorted((keys[i], keys[j]))): (cos[i, j], away[i, j]) for i in range(60) for j in range(i)}
+    assert got.keys() == want.keys()
+    assert all(abs(r["cosine_similarity"] - want[k][0]) < 1e-12 and abs(r["euclidean_distance"] - want[k][1]) < 1e-9 * max(1, want[k][1]) for k, r in got.items())
+    d = np.round(1 - cos if metric == "cosine" else away, 9)
+    near = {}
+    for r in neighbors.nearest(df, "k", "v", 7, metric, blocks).collect():
+        near.setdefault(r["k"], {})[r["rank"]] = r["neighbor"]
+    for i, k in enumerate(keys):
+        order = sorted((d[i, j], keys[j]) for j in range(60) if j != i)[:7]
+        assert [near[k][r + 1] for r in range(7)] == [o for _, o in order]
+
+
 def greedy_loop(w):
     used, total = set(), 0.0
     for row in w:

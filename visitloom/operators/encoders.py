@@ -95,7 +95,8 @@ def readmission_scores(model, examples: DataFrame, vec: str = "vec") -> DataFram
     from pyspark.ml.functions import vector_to_array
 
     scored = model.transform(_features(examples, vec))
-    return scored.select(*examples.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
+    # never null, so that no later filter on it is moved before the one on vectors
+    return scored.select(*examples.columns, F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(float("nan"))).alias("probability"))
 
 
 def auc(scored: DataFrame, label: str = "readmitted", score: str = "probability") -> DataFrame:

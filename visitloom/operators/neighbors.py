@@ -7,21 +7,34 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import ship_package
-from .pairs import blocked, blocks_for
+from .pairs import BLOCK_ROWS, blocks_for
 from .sampling import bottom_k
 
-#: Rows that are compared with a block at once.
-AT_ONCE = 64
+#: Rows of a block when a cell gives few of its pairs: a matrix of 32 MB.
+WIDE_ROWS = 2048
+#: Squared distances under this share of the squared norms are taken again from the differences.
+CLOSE = 1e-4
 
 
-def _metrics(x, y):
-    """Cosine similarities (0 for a zero vector) and euclidean distances of the rows of two matrices."""
+def _cosines(x, y):
+    """Cosine similarities of the rows of two matrices, 0 for a zero vector."""
     import numpy as np
 
     norms = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :]
-    cos = np.divide(x @ y.T, norms, out=np.zeros_like(norms), where=norms != 0)
-    away = [np.sqrt(((x[i: i + AT_ONCE, None, :] - y[None, :, :]) ** 2).sum(2)) for i in range(0, len(x), AT_ONCE)]
-    return cos, np.concatenate(away) if away else np.zeros_like(norms)
+    return np.divide(x @ y.T, norms, out=np.zeros_like(norms), where=norms != 0)
+
+
+def _distances(x, y):
+    """Euclidean distances of the rows of two matrices, by norms and products; where these cancel, by differences."""
+    import numpy as np
+
+    total = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
+    square = total - 2 * (x @ y.T)
+    i, j = np.nonzero(square < CLOSE * total)
+    for at in range(0, len(i), 65_536):
+        d = x[i[at: at + 65_536]] - y[j[at: at + 65_536]]
+        square[i[at: at + 65_536], j[at: at + 65_536]] = (d * d).sum(1)
+    return np.sqrt(np.maximum(square, 0))
 
 
 def _matrix(column):
@@ -31,61 +44,84 @@ def _matrix(column):
     return np.asarray(flat, float).reshape(len(column), -1)
 
 
-def _over_cells(vectors: DataFrame, key: str, vec: str, blocks: int | None, pairs, columns: str) -> DataFrame:
-    """``pairs(keys, matrix, keys, matrix)`` of the two blocks of every cell; rows without a key or a vector take no part, all vectors must have one length."""
+def _over_cells(vectors: DataFrame, key: str, vec: str, blocks: int | None, rows: int, pairs, columns: str) -> DataFrame:
+    """``pairs(keys, matrix, keys, matrix, same)`` of every two blocks and of each block with itself (``same``), keys in order.
+
+    Rows are dealt into blocks by a hash. Two blocks meet in one cell, so a row is sent once for each block and each pair is worked out once. Rows without a key or a vector take
+    no part, all vectors must have one length.
+    """
     ship_package(vectors.sparkSession)
     v = vectors.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(F.col(key).alias("k"), V.doubles(F.col(vec)).alias("v"))
-    left, right = blocked(v, "k", blocks or blocks_for(v))
-    sides = left.select("__cell", F.lit(0).alias("side"), "k", "v").unionByName(right.select("__cell", F.lit(1).alias("side"), "k", "v"))
+    blocks = blocks or blocks_for(v, rows)
+    own = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
+    dealt = v.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).alias("second"), "k", "v")
 
     def run(table):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        one, two = (table.filter(pc.equal(table["side"], s)).sort_by("k") for s in (0, 1))
-        if not (one.num_rows and two.num_rows):
-            i, j, values = [], [], [[] for _ in columns.split(", ")]
+        same = table["one"][0].as_py() == table["two"][0].as_py()
+        table = table.sort_by("k")
+        one = table.filter(pc.invert(table["second"]))
+        two = one if same else table.filter(table["second"])
+        if one.num_rows and two.num_rows:
+            left, right, *values = pairs(one["k"].to_numpy(), _matrix(one["v"]), two["k"].to_numpy(), _matrix(two["v"]), same)
         else:
-            i, j, *values = pairs(one["k"].to_numpy(), _matrix(one["v"]), two["k"].to_numpy(), _matrix(two["v"]))
-        take = lambda t, at: t["k"].combine_chunks().take(pa.array(at, pa.int64()))
-        return pa.table([take(one, i), take(two, j), *[pa.array(x, pa.float64()) for x in values]], ["k_1", "k_2", *[c.split()[0] for c in columns.split(", ")]])
+            left, right, *values = [], [], *[[] for _ in columns.split(", ")]
+        kinds = table.schema.field("k").type
+        return pa.table([pa.array(left, kinds), pa.array(right, kinds), *[pa.array(x, pa.float64()) for x in values]], ["k_1", "k_2", *[c.split()[0] for c in columns.split(", ")]])
 
     kind = v.schema["k"].dataType.simpleString()
-    return sides.groupBy("__cell").applyInArrow(run, f"k_1 {kind}, k_2 {kind}, {columns}")
+    return dealt.groupBy("one", "two").applyInArrow(run, f"k_1 {kind}, k_2 {kind}, {columns}")
 
 
 def pairwise_metrics(vectors: DataFrame, key: str, vec: str, blocks: int | None = None) -> DataFrame:
     """cosine_similarity and euclidean_distance of each unordered pair, the lesser key first."""
-    def pairs(k1, x, k2, y):
+    def pairs(k1, x, k2, y, same):
         import numpy as np
 
-        cos, away = _metrics(x, y)
-        i, j = np.nonzero(k1[:, None] < k2[None, :])
-        return i, j, cos[i, j], away[i, j]
+        cos, away = _cosines(x, y), _distances(x, y)
+        i, j = np.nonzero(k1[:, None] < k2[None, :] if same else np.full(cos.shape, True))
+        a, b = k1[i], k2[j]
+        turn = a > b
+        return np.where(turn, b, a), np.where(turn, a, b), cos[i, j], away[i, j]
 
-    p = _over_cells(vectors, key, vec, blocks, pairs, "cosine_similarity double, euclidean_distance double")
+    p = _over_cells(vectors, key, vec, blocks, BLOCK_ROWS, pairs, "cosine_similarity double, euclidean_distance double")
     return p.withColumnsRenamed({"k_1": f"{key}_1", "k_2": f"{key}_2"})
 
 
+def _least(d, k):
+    """(row, column) of the ``k`` least of each row, rounded to nine places, ties to the lesser column; none that is not finite."""
+    import numpy as np
+
+    r = np.round(d, 9)
+    edge = np.partition(r, min(k, r.shape[1]) - 1, axis=1)[:, min(k, r.shape[1]) - 1]
+    i, j = np.nonzero((r <= edge[:, None]) & np.isfinite(r))
+    order = np.lexsort((j, r[i, j], i))
+    i, j = i[order], j[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, np.arange(len(d)))[i]
+    return i[rank < k], j[rank < k]
+
+
 def nearest(vectors: DataFrame, key: str, vec: str, k: int, metric: str = "euclidean", blocks: int | None = None) -> DataFrame:
     """key, rank, neighbor, distance: the ``k`` nearest others; ties to the lesser key. Cosine distance is one less the similarity.
 
-    A cell gives each row the ``k`` nearest of a block, so what is ranked at the end grows with the rows and their blocks, not with the pairs.
+    A cell gives each row the ``k`` nearest of the other block, both ways from one product, so what is ranked at the end grows with the rows and their blocks, not with the pairs.
     """
-    def best(k1, x, k2, y):
+    def best(k1, x, k2, y, same):
         import numpy as np
 
-        cos, away = _metrics(x, y)
-        d = 1.0 - cos if metric == "cosine" else away
-        d[k1[:, None] == k2[None, :]] = np.inf
-        # columns are in the order of their keys
-        j = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :k]
-        i = np.repeat(np.arange(len(k1)), j.shape[1])
-        j = j.ravel()
-        some = np.isfinite(d[i, j])
-        return i[some], j[some], d[i, j][some]
-
-    d = _over_cells(vectors, key, vec, blocks, best, "distance double")
+        d = 1.0 - _cosines(x, y) if metric == "cosine" else _distances(x, y)
+        if same:
+            d[k1[:, None] == k2[None, :]] = np.inf
+        i, j = _least(d, k)
+        if same:
+            return k1[i], k2[j], d[i, j]
+        n, m = _least(d.T, k)
+        return np.concatenate([k1[i], k2[n]]), np.concatenate([k2[j], k1[m]]), np.concatenate([d[i, j], d[m, n]])
+
+    d = _over_cells(vectors, key, vec, blocks, WIDE_ROWS, best, "distance double")
     w = Window.partitionBy("k_1").orderBy(F.round("distance", 9), "k_2")
     d = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return d.select(F.col("k_1").alias(key), "rank", F.col("k_2").alias("neighbor"), "distance")

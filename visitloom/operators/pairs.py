@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 BLOCK_ROWS, LEAST_BLOCKS = 1024, 8
 
 
-def blocks_for(df: DataFrame) -> int:
-    """So many blocks that none holds much more than ``BLOCK_ROWS`` rows."""
-    return max(LEAST_BLOCKS, -(-df.count() // BLOCK_ROWS))
+def blocks_for(df: DataFrame, rows: int | None = None) -> int:
+    """So many blocks that none holds much more than ``rows`` rows, ``BLOCK_ROWS`` if not said."""
+    return max(LEAST_BLOCKS, -(-df.count() // (rows or BLOCK_ROWS)))
 
 
 def blocked(df: DataFrame, key: str, blocks: int) -> tuple[DataFrame, DataFrame]:

@@ -58,6 +58,13 @@ def readmissions(visits: DataFrame, start: Column, days: int = 30, patient: str
 
 
 def neighbor_histories(neighbors: DataFrame, visits: DataFrame, value: Column) -> DataFrame:
-    """``neighbors`` with the neighbour's history up to and with its matched visit; neighbours without visits go."""
-    h = prefixes(visits, value).select(F.col("patient_id").alias("neighbor_id"), F.col("visit_idx").alias("neighbor_vidx"), "history")
-    return neighbors.join(h, ["neighbor_id", "neighbor_vidx"])
+    """``neighbors`` with the neighbour's history up to and with its matched visit; neighbours without that visit go.
+
+    Visits are gathered once for each (neighbour, matched visit) that is asked for, not for every prefix of every patient.
+    """
+    asked = neighbors.select("neighbor_id", "neighbor_vidx").distinct()
+    seen = visits.select(F.col("patient_id").alias("neighbor_id"), "visit_idx", value.alias("__value"))
+    rows = asked.join(seen, "neighbor_id").where(F.col("visit_idx") <= F.col("neighbor_vidx"))
+    listed = F.array_sort(F.collect_list(F.struct("visit_idx", "__value")))
+    h = rows.groupBy("neighbor_id", "neighbor_vidx").agg(F.max("visit_idx").alias("__last"), F.transform(listed, lambda v: v["__value"]).alias("history"))
+    return neighbors.join(h.where("__last = neighbor_vidx").drop("__last"), ["neighbor_id", "neighbor_vidx"])

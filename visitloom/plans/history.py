@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -89,6 +90,12 @@ def dx_buckets(spark, d):
     return buckets(spark, d).groupBy("chapter").agg(F.count("*").alias("n_patients"), F.array_join(F.array_sort(F.collect_set("patient_id")), ",").alias("patients"))
 
 
+def dx_bucket_members(spark, d):
+    """One row for each patient of a chapter, numbered in order: the listing without a list that grows with the patients."""
+    b = buckets(spark, d)
+    return b.withColumn("place", F.row_number().over(Window.partitionBy("chapter").orderBy("patient_id")))
+
+
 def _log(spark, d):
     return A.table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").cast("string").alias("id"))
 
@@ -132,7 +139,7 @@ def join_or_miss(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    patient_nested_counts, nested_visits, visit_index, visit_sentence, history_windows, window_terms, history_prefix, min_history_patients, null_scrub, dx_codes, dx_buckets,
+    patient_nested_counts, nested_visits, visit_index, visit_sentence, history_windows, window_terms, history_prefix, min_history_patients, null_scrub, dx_codes, dx_buckets, dx_bucket_members,
     resume_anti, resume_semi, first_qualifying_dx, readmission_label, target_visit, distinct_keys_peek, encounter_children_semi, join_or_miss)}
 
 CHAPTER = "CASE " + " ".join(f"WHEN substr(code, 1, 1) = '{k}' THEN '{v}'" for k, v in text.CHAPTERS.items()) + " ELSE 'Other' END"
@@ -155,6 +162,8 @@ SELECT * FROM w WHERE end_idx >= {N - 1}""",
     "dx_codes": f"WITH {ITEMS} SELECT encounter_id, line, part, code, {CHAPTER} AS chapter FROM items WHERE category = 'diagnoses'",
     "dx_buckets": f"""WITH {ITEMS}, b AS (SELECT DISTINCT {CHAPTER} AS chapter, CAST(o_custkey AS VARCHAR) AS patient_id FROM items JOIN orders ON encounter_id = CAST(o_orderkey AS VARCHAR) WHERE category = 'diagnoses')
 SELECT chapter, count(*) AS n_patients, string_agg(patient_id, ',' ORDER BY patient_id) AS patients FROM b GROUP BY 1""",
+    "dx_bucket_members": f"""WITH {ITEMS}, b AS (SELECT DISTINCT {CHAPTER} AS chapter, CAST(o_custkey AS VARCHAR) AS patient_id FROM items JOIN orders ON encounter_id = CAST(o_orderkey AS VARCHAR) WHERE category = 'diagnoses')
+SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY patient_id)::INT AS place FROM b""",
     "resume_anti": "SELECT CAST(c_custkey AS VARCHAR) AS person_id, c_name FROM customer WHERE NOT c_acctbal < 0",
     "resume_semi": "SELECT CAST(c_custkey AS VARCHAR) AS person_id, c_name FROM customer WHERE c_acctbal < 0",
     "first_qualifying_dx": f"""WITH {VISITS}, {ITEMS}, f AS (SELECT encounter_id, arg_min(name, (line, part, name)) AS first FROM items WHERE category = 'diagnoses' GROUP BY 1),

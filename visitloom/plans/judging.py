@@ -99,7 +99,7 @@ def symmetric_matrix(spark, d):
 def sampled_pair_metrics(spark, d):
     """Metrics of pairs whose ends are both in a sample, averaged by label of the first end."""
     e = A.table(spark, d, "embeddings")
-    p = pairs.both_in(_metrics(spark, d), sampling.sample_n(e, "vec_id", 50).select("vec_id"), "vec_id_1", "vec_id_2")
+    p = neighbors.pairwise_metrics(sampling.sample_n(e, "vec_id", 50), "vec_id", "embedding")
     p = p.join(e.select(F.col("vec_id").alias("vec_id_1"), "label"), "vec_id_1")
     return p.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("euclidean_distance"), 6).alias("mean_distance"))
 

@@ -33,6 +33,13 @@ def code_pairs(spark, d):
     return pairs.pairs_by_code(A.terms(spark, d))
 
 
+def pairs_in_sample(spark, d):
+    """Pairs whose ends are both among 2000 terms drawn by the hash of the term."""
+    t = A.terms(spark, d)
+    sample = sampling.sample_n(t.select("term").distinct(), "term", 2000)
+    return pairs.both_in(pairs.pairs_by_code(t), sample, "term", "counterpart")
+
+
 def _mapping(spark, d):
     t = A.terms(spark, d).where("p_size <= 25")
     return t.select("code", F.col("p_brand").alias("rxnorm"), "key")
@@ -170,7 +177,7 @@ def pool_by_label(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    clean_term_a, clean_term_b, clean_documents, code_pairs, rxnorm_map_join, medication_pairs, lonely_terms, synonym_pairs, term_vocab, pair_type_counts, group_examples, seeded_sample, similar_pairs,
+    clean_term_a, clean_term_b, clean_documents, code_pairs, pairs_in_sample, rxnorm_map_join, medication_pairs, lonely_terms, synonym_pairs, term_vocab, pair_type_counts, group_examples, seeded_sample, similar_pairs,
     dissimilar_pairs, pairwise_cosine, pairwise_euclidean, knn_topk, knn_euclidean, baseline_similarity, baseline_closed_form, baseline_model_vocab, normalized_by_vocab, normalized_similarity, pool_by_label)}
 
 VEC = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
@@ -210,6 +217,8 @@ SELECT p.term, counterpart, round({COS}, 6) AS cosine_similarity, round(({COS} -
     "clean_term_b": f"""SELECT p_partkey, {_sql_clean("'  ' || p_name || ' 250.12 Unspecified (HCC 12); nos  x'", "B")} AS term FROM part""",
     "clean_documents": f"SELECT doc_id, md5({_sql_clean('text', 'B')}) AS digest FROM documents",
     "code_pairs": f"WITH {TERMS}, {PAIRS} SELECT * FROM pairs",
+    "pairs_in_sample": f"""WITH {TERMS}, {PAIRS}, s AS (SELECT DISTINCT term FROM terms ORDER BY md5(term || '|42'), term LIMIT 2000)
+SELECT * FROM pairs WHERE term IN (SELECT term FROM s) AND counterpart IN (SELECT term FROM s)""",
     "rxnorm_map_join": f"""WITH {TERMS}, m AS (SELECT code, arg_max(p_brand, key) AS rxnorm FROM terms WHERE p_size <= 25 GROUP BY 1)
 SELECT key, term, t.code, rxnorm FROM terms t LEFT JOIN m ON t.code = m.code""",
     "medication_pairs": f"""WITH {TERMS}, m AS (SELECT code, arg_max(p_brand || '/' || code, key) AS rx FROM terms WHERE p_size <= 25 GROUP BY 1),
