@@ -38,6 +38,20 @@ def test_nesting_does_not_multiply_children(spark):
     assert len(kept["1"]) == 2
 
 
+def test_lists_of_several_kinds_are_those_of_each_alone(spark):
+    rows = [("e1", "dx", "b", 2), ("e1", "dx", "a", 2), ("e1", "rx", "m", 1), ("e2", "rx", None, 0), (None, "dx", "z", 0), ("e3", "other", "o", 0)]
+    df = spark.createDataFrame(rows, "enc string, kind string, name string, line int")
+    both = records.children_by(df, "enc", "kind", {"dxs": ("dx", {"line": "line", "dx_name": "name"}), "rxs": ("rx", {"rx_name": "name"})}, ["line"])
+    got = {r["enc"]: ([tuple(x) for x in r["dxs"]], [tuple(x) for x in r["rxs"]]) for r in both.collect()}
+    assert got == {"e1": ([(2, "a"), (2, "b")], [(1, "m")]), "e2": ([], [(0, None)]), "e3": ([], [])}
+    alone = records.children(df.where("kind = 'dx'").select("enc", F.col("name").alias("dx_name"), "line"), "enc", "dxs", ["line"])
+    assert {r["enc"]: sorted((x["line"], x["dx_name"]) for x in r["dxs"]) for r in alone.collect()} == {"e1": [(2, "a"), (2, "b")]}
+    person = spark.createDataFrame([("1",)], "person_id string")
+    enc = spark.createDataFrame([("1", "e1"), ("1", "none")], "PatientEpicId_SH string, EncounterId_SH string")
+    out = records.nest(person, enc, both.withColumnRenamed("enc", "EncounterId_SH")).first()["encounters"]
+    assert [(e["encounter_id"], len(e["dxs"]), len(e["rxs"])) for e in out] == [("e1", 2, 1), ("none", 0, 0)]
+
+
 def test_pairs_by_code_ignore_null_codes_and_repeats(spark):
     t = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "2"), ("a", "2"), ("c", None), ("d", None), ("e", "3")], "term string, code string")
     p = pairs.pairs_by_code(t)

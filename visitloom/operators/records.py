@@ -47,10 +47,27 @@ def children(df: DataFrame, key: str, name: str, order: list[str] | None = None)
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.transform(sorted_rows, lambda r: F.struct(*[r[c].alias(c) for c in own])).alias(name))
 
 
-def nest(person: DataFrame, encounters: DataFrame, tables: dict[str, DataFrame], person_id: str = "person_id", owner: str = "PatientEpicId_SH",
+def children_by(df: DataFrame, key: str, kind: str, fields: dict[str, tuple[str, dict[str, str]]], order: list[str] | None = None) -> DataFrame:
+    """One row a key with a list for each kind of its rows: ``children`` of several kinds from one scan and one shuffle.
+
+    ``fields`` names each list, the kind that it holds and what its rows have: ``{list: (kind, {field: column})}``. Rows are in the order of the
+    given columns, then of all; a key without rows of a kind has an empty list. Null keys go.
+    """
+    first = order or []
+    lists = []
+    for name, (tag, named) in fields.items():
+        row = F.struct(*[F.col(c) for c in first], *[F.col(c).alias(f) for f, c in named.items() if f not in first])
+        kept = F.array_sort(F.collect_list(F.when(F.col(kind) == tag, row)))
+        lists.append(kept.alias(name))
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*lists)
+
+
+def nest(person: DataFrame, encounters: DataFrame, tables: dict[str, DataFrame] | DataFrame, person_id: str = "person_id", owner: str = "PatientEpicId_SH",
          encounter_id: str = "EncounterId_SH", order: list[str] | None = None, drop_unidentified: bool = False) -> DataFrame:
     """patient_id, demographics, encounters: one row per person, persons without encounters included.
 
+    ``tables`` are the child tables by the name of their list, or one table of lists by encounter (``children_by``).
+
     Encounters without an id keep no children; ``drop_unidentified`` leaves them out. A repeated encounter id gets all
     its children each time. Encounters are listed by their id.
     """
@@ -58,11 +75,15 @@ def nest(person: DataFrame, encounters: DataFrame, tables: dict[str, DataFrame],
     if drop_unidentified:
         e = e.where(F.col(encounter_id).isNotNull())
     e = e.withColumn("__details", rest_of(encounters, owner, encounter_id)).select(owner, encounter_id, "__details")
-    for name, t in tables.items():
-        t = t.withColumn(encounter_id, valid_id(F.col(encounter_id)))
-        e = e.join(children(t, encounter_id, name, order), encounter_id, "left")
-        e = e.withColumn(name, F.coalesce(F.col(name), F.array().cast(e.schema[name].dataType)))
-    row = F.struct(F.col(encounter_id).alias("encounter_id"), F.col("__details").alias("details"), *tables)
+    if isinstance(tables, DataFrame):
+        folded = [tables]
+    else:
+        folded = [children(t.withColumn(encounter_id, valid_id(F.col(encounter_id))), encounter_id, name, order) for name, t in tables.items()]
+    names = [c for t in folded for c in t.columns if c != encounter_id]
+    for t in folded:
+        e = e.join(t, encounter_id, "left")
+    e = e.withColumns({n: F.coalesce(F.col(n), F.array().cast(e.schema[n].dataType)) for n in names})
+    row = F.struct(F.col(encounter_id).alias("encounter_id"), F.col("__details").alias("details"), *names)
     lists = e.groupBy(F.col(owner).cast("string").alias("patient_id")).agg(F.array_sort(F.collect_list(row)).alias("encounters"))
     p = person.select(F.col(person_id).cast("string").alias("patient_id"), rest_of(person, person_id).alias("demographics"))
     out = p.join(lists, "patient_id", "left")

@@ -26,7 +26,7 @@ sentences AS (SELECT patient_id, v.encounter_id, start, visit_idx, coalesce(null
 
 
 def _nested(spark, d):
-    return records.nest(A.persons(spark, d), A.encounters(spark, d), A.child_tables(spark, d), order=["line", "part"])
+    return records.nest(A.persons(spark, d), A.encounters(spark, d), A.child_lists(spark, d))
 
 
 def patient_nested_counts(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sentence
+from ..operators.records import children_by
 from ..operators.stats import numbered
 from ..operators.visits import index_visits
 
@@ -36,15 +37,14 @@ def items(spark: SparkSession, d: str) -> DataFrame:
                     F.upper(F.substring(F.md5("p_name"), 1, 3)).alias("code"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
 
 
-def child_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    i = items(spark, d)
-    base = [F.col("encounter_id").alias("EncounterId_SH"), "line", "part"]
-    pick = lambda c, *cols: i.where(F.col("category") == c).select(*base, *cols)
-    return {
-        "diagnoses": pick("diagnoses", F.col("code").alias("Diagnosis_1_Code"), F.col("name").alias("Diagnosis_Name")),
-        "medications": pick("medications", F.col("name").alias("MedSimpleGenericName")),
-        "procedures": pick("treatments", F.col("name").alias("CPT_Procedure_Description")),
-    }
+def child_lists(spark: SparkSession, d: str) -> DataFrame:
+    """EncounterId_SH and its diagnoses, medications and procedures, from one scan."""
+    place = {"line": "line", "part": "part"}
+    return children_by(items(spark, d).withColumnRenamed("encounter_id", "EncounterId_SH"), "EncounterId_SH", "category", {
+        "diagnoses": ("diagnoses", {**place, "Diagnosis_1_Code": "code", "Diagnosis_Name": "name"}),
+        "medications": ("medications", {**place, "MedSimpleGenericName": "name"}),
+        "procedures": ("treatments", {**place, "CPT_Procedure_Description": "name"}),
+    }, ["line", "part"])
 
 
 def visits(spark: SparkSession, d: str) -> DataFrame:
