@@ -142,6 +142,23 @@ def test_line_dedup_links_variants_of_a_hot_line(spark):
     assert left == [0]
 
 
+def test_line_dedup_tells_figures_apart(spark):
+    texts = ["1 000 000 units sold in 2021 for 35 euros each", "2 500 000 units sold in 2023 for 99 euros each", "1.000.000 units sold in 2021, for 35 euros each!",
+             "12 34", "12/34", "1 234", "***", "***"]
+    out = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs_of(spark, texts), exact_words=1).collect()}
+    assert [out[i] for i in range(8)] == [0, 0, 1, 0, 1, 0, 0, 0]
+
+
+def test_line_dedup_of_lines_with_few_words_in_common(spark):
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 12))
+    base = [[word() for _ in range(20)] for _ in range(40)]
+    edited = [" ".join(w if k % 5 == 0 else w[:5] + chr(97 + (ord(w[5]) - 96) % 26) + w[6:] for k, w in enumerate(ws)) for ws in base]
+    d = docs_of(spark, [" ".join(ws) for ws in base] + edited)
+    found = lambda **kw: sum(r["n_removed"] for r in lines.dedup_lines(d, runs=100, kinds=((1, 1 << 31),), **kw).collect())
+    assert found(words_shared=0.0) == 40 and found() == 0
+
+
 def test_line_dedup_of_repeated_ids(spark):
     d = docs_of(spark, ["a line of words that repeats", "a line of words that repeats"]).withColumn("doc_id", F.lit(7).cast("long"))
     assert [r["text"] for r in lines.dedup_lines(d).collect()] == ["a line of words that repeats"] * 2
