@@ -16,6 +16,7 @@ from ..functions import prompts
 from . import models, visits
 
 GROUP = "visitloom.pathways"
+# Fixed value: the question that agents answer to.
 QUESTION = "Find KEGG pathway for {}"
 
 
