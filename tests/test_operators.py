@@ -252,3 +252,48 @@ def test_numbered_is_the_place_in_order(spark, ranges):
     assert [r["v"] for r in sorted(out.collect(), key=lambda r: r["i"])] == [None, *sorted(values[1:])]
     assert sorted(r["i"] for r in out.collect()) == list(range(len(values)))
     assert stats.numbered(spark.createDataFrame([], "v string"), "v", "i", ranges).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_metrics_folded_in_cells_are_those_of_the_pairs(spark, monkeypatch, blocks):
+    """Copies, zero vectors, repeated keys and null labels too; with few values to send, pairs are ranked as a table."""
+    monkeypatch.setattr(neighbors, "TILE_ROWS", 16)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(90, 5)), 2).astype(np.float32)
+    x[7] = x[8] = x[9]
+    x[11] = 0
+    rows = [(i - i % 2 if i < 6 else i, v.tolist(), None if i % 9 == 0 else i % 4) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k long, v array<float>, label int")
+    monkeypatch.setattr(neighbors, "vector_blocks", lambda v: blocks)
+    pairs_of = neighbors.pairwise_metrics(df, "k", "v").toPandas()
+    keys = np.array([r[0] for r in rows])
+    assert len(pairs_of) == int((keys[:, None] < keys[None, :]).sum())
+    hist = {r["bin"]: r["n"] for r in neighbors.metric_histogram(df, "k", "v", -1.0, 1.0, 40).collect()}
+    at = np.clip(np.floor((np.round(pairs_of.cosine_similarity, 9) + 1) / 0.05), 0, 39).astype(int)
+    assert hist == at.value_counts().to_dict()
+    r = neighbors.metric_regression(df, "k", "v").first()
+    c = np.cov(pairs_of.cosine_similarity, pairs_of.euclidean_distance)
+    slope = c[0, 1] / c[0, 0]
+    assert abs(r["slope"] - slope) < 1e-9 and abs(r["intercept"] - (pairs_of.euclidean_distance.mean() - slope * pairs_of.cosine_similarity.mean())) < 1e-9
+    assert abs(r["r2"] - c[0, 1] ** 2 / c[0, 0] / c[1, 1]) < 1e-9
+    ranks = pairs_of[["cosine_similarity", "euclidean_distance"]].round(4).rank()
+    for bound in (neighbors.RANKED, 10):
+        monkeypatch.setattr(neighbors, "RANKED", bound)
+        s = neighbors.metric_spearman(df, "k", "v", 4).first()
+        assert s["n"] == len(pairs_of) and abs(s["rho"] - ranks.corr().iloc[0, 1]) < 1e-6
+    assert tuple(neighbors.metric_spearman(df.limit(1), "k", "v").first()) == (0, None)
+    unit = np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=x.any(1)[:, None]).astype(float)
+    want = {}
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows):
+            if a[0] < b[0]:
+                g = tuple(sorted((a[2], b[2]), key=lambda z: (z is not None, z)))
+                n, s = want.get(g, (0, 0.0))
+                want[g] = n + 1, s + unit[i] @ unit[j]
+    got = {(r["a"], r["b"]): (r["n"], r["s"]) for r in neighbors.group_similarity(df, "k", "v", "label").collect()}
+    assert got.keys() == want.keys() and all(got[g][0] == want[g][0] and abs(got[g][1] - want[g][1]) < 1e-4 for g in want)
+
+
+def test_rows_of_vectors_sent_grow_no_faster_than_the_rows(spark):
+    sent = {rows: pairs.vector_blocks(spark.range(rows)) * rows for rows in (120_000, 720_000)}
+    assert sent[720_000] <= 6 * sent[120_000]
