@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from visitloom.operators import encoders, pathways, stats
+from visitloom.operators import encoders, models, pathways, stats
 
 
 def brute_auc(y, s):
@@ -127,3 +127,25 @@ def test_an_installed_agent_is_found(spark, monkeypatch):
     out = {r["patient_id"]: r for r in pathways.pathway_narratives(h, make_agent=lambda: lambda q: "P1").collect()}
     assert out["1"]["diagnosis"] == "flu" and out["1"]["narrative"].endswith("The primary diagnosis, flu, is associated with the P1.")
     assert out["2"]["diagnosis"] is None and out["2"]["pathway"] is None
+
+
+@pytest.mark.parametrize("attention", [False, True])
+def test_histories_in_batches_are_those_one_by_one(spark, attention):
+    """Windows of several lengths with empty and equal visits."""
+    visits = [["a", "b"], [], ["c"], ["a", "b"], ["b", "a"], ["c", "c", "d e"], []]
+    rows = [(f"p{i}", i, visits[i % 5: i % 5 + 1 + i % 3]) for i in range(20)]
+    df = spark.createDataFrame(rows, "patient_id string, end_idx int, window array<array<string>>").coalesce(1)
+    got = {r["patient_id"]: r["vec"] for r in encoders.encode_histories(df, 16, 8, attention=attention).collect()}
+    emb, terms, net = models.HashingEmbedder(16), encoders.GRU(16, 8), encoders.GRU(8, 8, 43)
+    for p, _, window in rows:
+        s = net.states(np.array([terms.states(np.array(emb.encode(v)))[-1] if v else np.zeros(8) for v in window]))
+        a = np.exp(s @ s[-1])
+        want = (a / a.sum()) @ s if attention else s[-1]
+        assert np.abs(np.array(got[p]) - want).max() < 1e-12
+
+
+def test_states_of_lists_step_by_step():
+    g, x = encoders.GRU(3, 4), np.random.default_rng(1).normal(size=(6, 3))
+    at, sizes = np.array([0, 5, 5, 2, 1, 0]), np.array([2, 0, 3, 1])
+    last = g.of_lists(x, at, sizes)[-1]
+    assert np.allclose(last[0], g.states(x[[0, 5]])[-1]) and not last[1].any() and np.allclose(last[2], g.states(x[[5, 2, 1]])[-1]) and np.allclose(last[3], g.states(x[[0]])[-1])

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import one_thread, ship_package
 from .sampling import ticket
 from .stats import average_rank
 
@@ -30,31 +30,67 @@ class GRU:
             out.append(h)
         return np.array(out).reshape(-1, len(bz))
 
+    def of_lists(self, xs: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """States of many lists at once, a step at a time: the state of every list after its first, second.. input, that of its last from then on.
+
+        ``at`` are the rows of ``xs`` that the lists name, one list behind the other. The state before all inputs, zeros, comes first.
+        """
+        sig = lambda v: 1 / (1 + np.exp(-v))
+        (wz, uz, bz), (wr, ur, br), (wh, uh, bh) = (self.w[g] for g in "zrh")
+        pz, pr, ph = xs @ wz.T + bz, xs @ wr.T + br, xs @ wh.T + bh  # once for each row, however many lists name it
+        order = np.argsort(-sizes, kind="stable")
+        first = (np.cumsum(sizes) - sizes)[order]
+        h, out = np.zeros((len(sizes), len(bz))), [np.zeros((len(sizes), len(bz)))]
+        for t in range(int(sizes.max(initial=0))):
+            n = int((sizes > t).sum())
+            x, old = at[first[:n] + t], h[:n]
+            z, r = sig(pz[x] + old @ uz.T), sig(pr[x] + old @ ur.T)
+            h[:n] = (1 - z) * old + z * np.tanh(ph[x] + (r * old) @ uh.T)
+            out.append(np.empty_like(h))
+            out[-1][order] = h
+        return out
+
 
 def encode_histories(windows: DataFrame, embed_size: int = 64, hidden: int = 32, seed: int = 42, attention: bool = False) -> DataFrame:
     """patient_id, visit_idx, vec of windows (patient_id, end_idx, window: array<array<string>> of terms).
 
     Two levels: a network over a visit's terms gives the visit, one over the visits the patient; with
     ``attention`` the states of visits are weighted by their likeness to the last instead of taking the last.
+    A batch of windows goes through both a step at a time; visits that its windows share, and terms, are worked out once.
     """
     def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         from .models import HashingEmbedder
 
+        one_thread()
         emb, terms, visits = HashingEmbedder(embed_size), GRU(embed_size, hidden, seed), GRU(hidden, hidden, seed + 1)
         for b in batches:
-            vecs = []
-            for w in b["window"]:
-                seen = [terms.states(np.array(emb.encode(list(v))))[-1] if len(v) else np.zeros(hidden) for v in w]
-                s = visits.states(np.array(seen))
-                if attention:
-                    a = np.exp(s @ s[-1])
-                    vecs.append(((a / a.sum())[:, None] * s).sum(axis=0).tolist())
-                else:
-                    vecs.append(s[-1].tolist())
-            yield b[["patient_id", "end_idx"]].rename(columns={"end_idx": "visit_idx"}).assign(vec=vecs)
+            told = pc.list_flatten(b.column(2))
+            words = pc.list_flatten(told).dictionary_encode()
+            of_words = np.array(emb.encode(words.dictionary.to_pylist())).reshape(-1, embed_size)
+            sizes = pc.list_value_length(told).to_numpy(zero_copy_only=False).astype(int)
+            # windows overlap: equal visits are worked out once
+            codes, of_visit, known = words.indices.to_numpy(zero_copy_only=False).astype(int), np.zeros(len(sizes), int), [np.zeros((1, hidden))]
+            first = np.cumsum(sizes) - sizes
+            for size in np.unique(sizes[sizes > 0]):
+                which = np.nonzero(sizes == size)[0]
+                lists, same = np.unique(codes[first[which][:, None] + np.arange(size)], axis=0, return_inverse=True)
+                of_visit[which] = sum(map(len, known)) + same.ravel()
+                known.append(terms.of_lists(of_words, lists.ravel(), np.full(len(lists), size))[-1])
+            n = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False).astype(int)
+            states = visits.of_lists(np.concatenate(known), of_visit, n)
+            vec = states[-1]
+            if attention:
+                s = np.stack(states[1:], axis=1)
+                weights = np.exp((s * vec[:, None]).sum(2)) * (np.arange(s.shape[1]) < n[:, None])
+                vec = ((weights / weights.sum(1, keepdims=True))[:, :, None] * s).sum(1)
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * hidden, pa.int32()), pa.array(vec.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), vec], ["patient_id", "visit_idx", "vec"])
 
     ship_package(windows.sparkSession)
-    return windows.select("patient_id", "end_idx", "window").mapInPandas(run, "patient_id string, visit_idx int, vec array<double>")
+    return windows.select("patient_id", F.col("end_idx").cast("int"), "window").mapInArrow(run, "patient_id string, visit_idx int, vec array<double>")
 
 
 def encode_sentences(windows: DataFrame, sentence_window: str = "window") -> DataFrame:
