@@ -149,3 +149,14 @@ def test_states_of_lists_step_by_step():
     at, sizes = np.array([0, 5, 5, 2, 1, 0]), np.array([2, 0, 3, 1])
     last = g.of_lists(x, at, sizes)[-1]
     assert np.allclose(last[0], g.states(x[[0, 5]])[-1]) and not last[1].any() and np.allclose(last[2], g.states(x[[5, 2, 1]])[-1]) and np.allclose(last[3], g.states(x[[0]])[-1])
+
+
+def test_examples_count_names_and_send_none(spark):
+    from visitloom.plans import judging
+    from visitloom.sources import adapters
+
+    d = "/root/testdata/sf0.001"
+    assert "p_name" not in judging._examples(spark, d)._jdf.queryExecution().executedPlan().toString()
+    kinds = ["diagnoses", "medications", "treatments"]
+    want = {r["encounter_id"]: tuple(len(r[c]) for c in kinds) for r in adapters.visit_names(spark, d).collect()}
+    assert {r["encounter_id"]: tuple(r[c] for c in kinds) for r in adapters.visit_counts(spark, d).collect()} == want

@@ -64,6 +64,12 @@ def visit_names(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, empty) for c in ("diagnoses", "medications", "treatments")})
 
 
+def visit_counts(spark: SparkSession, d: str) -> DataFrame:
+    """``visits`` with how many names of each category a visit has: counts are folded before they are sent, names are not."""
+    counts = items(spark, d).groupBy("encounter_id").agg(*[F.count_if(F.col("category") == c).alias(c) for c in ("diagnoses", "medications", "treatments")])
+    return visits(spark, d).join(counts, "encounter_id", "left").na.fill(0, ["diagnoses", "medications", "treatments"])
+
+
 def sentences(spark: SparkSession, d: str) -> DataFrame:
     return visit_names(spark, d).withColumn("sentence", sentence(F.col("diagnoses"), F.col("medications"), F.col("treatments")))
 
