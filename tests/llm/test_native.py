@@ -267,6 +267,35 @@ def test_line_dedup_recall_of_damaged_lines(spark, n):
     assert sum(out[120 + i] == "" for i in of) >= 0.97 * len(of)
 
 
+def test_line_dedup_compares_all_members_of_a_bucket(spark, monkeypatch):
+    """All lines are in one bucket, in which most alike ones are neither neighbours nor like the pivot."""
+    monkeypatch.setattr(lines, "COMMON_RUNS", 0, raising=False)
+    some = spark.range(200_000).select(F.concat(F.lit("w"), "id").alias("w"))
+    word = some.orderBy(F.xxhash64("w")).first()["w"]
+    rng = np.random.default_rng(16)
+    base = [f"{word} {prose(rng, 14, 8000)}" for _ in range(60)]
+    edited = [t + "qxz"[: k % 4] for k, t in enumerate(base)]
+    edited = [t if k % 4 else t[:30] + "q" + t[31:] for k, t in enumerate(edited)]
+    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, base + edited), runs=1, kinds=((1, 1 << 31),)).collect()}
+    assert [out[i] for i in range(60)] == base and not any(out[i] for i in range(60, 120))
+
+
+def test_line_dedup_bounds_lose_no_pair(spark):
+    """Bounds on the distance against the distance itself, about the limit: edits all over, all at one end, all of one kind."""
+    rng = np.random.default_rng(17)
+    found = []
+    for k in range(105):
+        t = prose(rng, [6, 12, 40, 90, 150][k % 5], 3000)
+        n = max(1, int(len(t) * rng.uniform(0.02, 0.13)))
+        at = int(rng.integers(0, len(t) - n))
+        found.append((t, [damaged(rng, t, n), t[n:], t[: len(t) - n], t[:at] + t[at + n:], t[:at] + "q" * n + t[at:], "z" * (n // 2) + t[: len(t) - n // 2], t[:at] + "é" * n + t[at + n:]][k % 7]))
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(105)], "a long, b long")
+    texts = spark.createDataFrame([(2 * k + i, t) for k, two in enumerate(found) for i, t in enumerate(two)], "key long, norm string")
+    out = {r["a"] // 2 for r in lines._confirm(pairs, texts, 90, 0.0).collect()}
+    assert 25 < len(out) < 90
+    assert out == {k for k, (a, b) in enumerate(found) if 10 * edit_distance(a, b) <= max(len(a), len(b))}
+
+
 def test_line_dedup_tells_lines_of_one_hash_apart(spark, monkeypatch):
     monkeypatch.setattr(lines, "line_hash", lambda norm: F.xxhash64(norm) % 2)
     rng = np.random.default_rng(15)
