@@ -296,6 +296,22 @@ def test_line_dedup_bounds_lose_no_pair(spark):
     assert out == {k for k, (a, b) in enumerate(found) if 10 * edit_distance(a, b) <= max(len(a), len(b))}
 
 
+def test_line_dedup_signs_lose_no_pair_and_keep_unlike_ones_apart(spark):
+    """Lines of one bucket, each in a group of its own: only those that may be alike leave the join, and no alike ones stay there."""
+    rng = np.random.default_rng(18)
+    base = [prose(rng, [8, 20, 60][k % 3], 3000) for k in range(90)]
+    texts = base + [damaged(rng, t, max(1, int(len(t) * rng.uniform(0.01, 0.09)))) for t in base]
+    t = lines._signed(spark.createDataFrame(list(enumerate(texts)), "key long, norm string"))
+    members = t.select(F.lit(1).cast("long").alias("bucket"), "key", F.length("norm").alias("n_chars"))
+    for shared in (0.0, 0.3):
+        out = {(r["a"], r["b"]) for r in lines._rest(members, None, t, 90, shared).collect()}
+        words = lambda i: set(texts[i].split(" "))  # noqa: B023, E731
+        alike = {(i, i + 90) for i in range(90) if 10 * edit_distance(texts[i], texts[i + 90]) <= max(len(texts[i]), len(texts[i + 90]))
+                 and len(words(i) & words(i + 90)) >= shared * min(len(words(i)), len(words(i + 90)))}
+        assert len(alike) > 40 and alike <= out
+    assert len(out) < 1_000  # of 16,110 pairs
+
+
 def test_line_dedup_tells_lines_of_one_hash_apart(spark, monkeypatch):
     monkeypatch.setattr(lines, "line_hash", lambda norm: F.xxhash64(norm) % 2)
     rng = np.random.default_rng(15)
