@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from visitloom import progress
-from visitloom.operators import neighbors, sampling
+from visitloom.operators import neighbors, pairs, sampling
 from visitloom.streaming import ingest
 
 
@@ -88,3 +88,9 @@ def test_baseline_of_either_vocabulary(spark):
     assert both["n"] == 50 and abs(both["average_similarity"] - neighbors.mean_similarity(model, "word", "vec").first()["average_similarity"]) < 1e-9
     with pytest.raises(ValueError):
         neighbors.baseline(terms, model, "word", "vec", "all")
+
+
+def test_vectors_are_sent_as_often_from_any_size(spark):
+    """A row goes to so many cells; their number may not grow with the table."""
+    assert [pairs.vector_blocks(spark.range(n)) for n in (2_000, 12_000, 120_000, 720_000)] == [pairs.LEAST_BLOCKS] * 4
+    assert pairs.vector_blocks(spark.range(pairs.MOST_ROWS * 20)) == 20

@@ -96,7 +96,7 @@ def _over_cells(vectors: DataFrame, key: str, vec: str, blocks: int | None, work
             for values in work(one["k"].to_numpy(), _matrix(one["v"]), two["k"].to_numpy(), _matrix(two["v"]), same):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(values, types)], names)
 
-    tasks = min(blocks * (blocks + 1) // 2, CELL_TASKS)
+    tasks = min(4 * (blocks * (blocks + 1) // 2), CELL_TASKS)  # most cells have a task of their own
     return dealt.repartition(tasks, "one", "two").groupBy("one", "two").applyInArrow(run, columns)
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block, and blocks at least, so that small tables use all cores.
 BLOCK_ROWS, LEAST_BLOCKS = 1024, 8
-#: Blocks of vectors at most while none has more rows than this: 32 MB of 64 doubles.
-MOST_BLOCKS, MOST_ROWS = 16, 65_536
+#: Rows of a block of vectors at most: 128 MB of 64 doubles.
+MOST_ROWS = 262_144
 
 
 def blocks_for(df: DataFrame, rows: int | None = None) -> int:
@@ -18,9 +18,8 @@ def blocks_for(df: DataFrame, rows: int | None = None) -> int:
 
 
 def vector_blocks(df: DataFrame) -> int:
-    """Blocks of vectors: so many that cells keep all cores busy, then no more until a block has ``MOST_ROWS``, so that rows sent grow with the rows up to a million."""
-    rows = df.count()
-    return max(LEAST_BLOCKS, min(-(-rows // BLOCK_ROWS), MOST_BLOCKS), -(-rows // MOST_ROWS))
+    """Blocks of vectors: the 36 cells of ``LEAST_BLOCKS``, and no more until a block has ``MOST_ROWS``, so that rows sent grow just as the rows up to two million."""
+    return max(LEAST_BLOCKS, -(-df.count() // MOST_ROWS))
 
 
 def blocked(df: DataFrame, key: str, blocks: int) -> tuple[DataFrame, DataFrame]:
