@@ -312,6 +312,34 @@ def test_line_dedup_signs_lose_no_pair_and_keep_unlike_ones_apart(spark):
     assert len(out) < 1_000  # of 16,110 pairs
 
 
+def test_line_dedup_signs_keep_unlike_lines_of_many_words_apart(spark):
+    """A bucket of long lines of one language: hardly a pair of unlike ones leaves the join, all alike ones do."""
+    rng = np.random.default_rng(19)
+    base = [prose(rng, 100, 3000) for _ in range(90)]
+    texts = base + [damaged(rng, t, 12) for t in base[:30]]
+    t = lines._signed(spark.createDataFrame(list(enumerate(texts)), "key long, norm string"))
+    members = t.select(F.lit(1).cast("long").alias("bucket"), "key", F.length("norm").alias("n_chars"))
+    out = {(r["a"], r["b"]) for r in lines._rest(members, None, t, 90, 0.3).collect()}
+    assert {(i, i + 90) for i in range(30)} <= out
+    assert len(out) < 300  # of 7,140 pairs
+
+
+@pytest.mark.parametrize("likely", [True, False])
+def test_line_dedup_bounds_of_long_lines_lose_no_pair(spark, monkeypatch, likely):
+    """Lines over ``DIRECT`` characters, here of most lengths, about the limit: linked are those within it and no others."""
+    monkeypatch.setattr(lines, "DIRECT", 40, raising=False)
+    rng = np.random.default_rng(20)
+    found = []
+    for k in range(60):
+        t = prose(rng, [6, 20, 60, 120][k % 4], 3000)
+        n = max(1, int(len(t) * rng.uniform(0.02, 0.13)))
+        found.append((t, [damaged(rng, t, n), t[n:], t[: len(t) // 2] + t[len(t) // 2 + n:]][k % 3]))
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(60)], "a long, b long")
+    texts = spark.createDataFrame([(2 * k + i, t) for k, two in enumerate(found) for i, t in enumerate(two)], "key long, norm string")
+    out = {r["a"] // 2 for r in lines._confirm(pairs, texts, 90, 0.0, likely).collect()}
+    assert out == {k for k, (a, b) in enumerate(found) if 10 * edit_distance(a, b) <= max(len(a), len(b))}
+
+
 def test_line_dedup_tells_lines_of_one_hash_apart(spark, monkeypatch):
     monkeypatch.setattr(lines, "line_hash", lambda norm: F.xxhash64(norm) % 2)
     rng = np.random.default_rng(15)
