@@ -1,5 +1,8 @@
 """URL filters, quality rules, line dedup, mixing: brute force and edge cases."""
 
+import os
+from urllib.parse import urlparse
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -296,6 +299,39 @@ def test_line_dedup_bounds_lose_no_pair(spark):
     assert out == {k for k, (a, b) in enumerate(found) if 10 * edit_distance(a, b) <= max(len(a), len(b))}
 
 
+def test_line_dedup_compares_in_rounds_that_send_no_more_than_the_lines(spark, monkeypatch):
+    """All pairs of a bucket send each line many times: no round sends much more than the lines have, and rounds find what one finds."""
+    monkeypatch.setattr(lines, "ROUND_LEAST", 1)
+    rng = np.random.default_rng(19)
+    base = [prose(rng, 12, 3000) for _ in range(8)]
+    texts = base + [damaged(rng, t, 3) for t in base]
+    t = lines._signed(spark.createDataFrame(list(enumerate(texts)), "key long, norm string"))
+    pairs = spark.createDataFrame([(i, j) for i in range(16) for j in range(i + 1, 16)], "a long, b long")
+    want = {(r["a"], r["b"]) for r in lines._confirm(pairs, t, 90, 0.3, False).collect()}
+    rounds, confirm = [], lines._confirm
+    monkeypatch.setattr(lines, "_confirm", lambda some, *a: rounds.append([(r["a"], r["b"]) for r in some.collect()]) or confirm(some, *a))
+    assert {(r["u"], r["v"]) for r in lines._linked(pairs, t, 90, 0.3, False, "more").collect()} == want and len(want) >= 8
+    assert sorted(p for some in rounds for p in some) == [(i, j) for i in range(16) for j in range(i + 1, 16)]
+    assert max(sum(len(texts[a]) for a, _ in some) for some in rounds) < 2 * sum(len(x) for x in texts)
+
+
+def test_line_dedup_keeps_no_texts_of_all_lines_while_lines_are_compared(spark, monkeypatch):
+    files, left, write = {}, {}, lines.written
+
+    def spy(df, what="table", codec="zstd"):
+        out = write(df, what, codec)
+        files[what] = [urlparse(f).path for f in out.inputFiles()]
+        left[what] = {w for w in ("lines", "folded") if any(os.path.exists(f) for f in files.get(w, []))}
+        return out
+
+    monkeypatch.setattr(lines, "written", spy)
+    rng = np.random.default_rng(20)
+    t = prose(rng, 12, 300)
+    out = lines.dedup_lines(docs_of(spark, [t, damaged(rng, t, 2), t + "\n" + prose(rng, 9, 300)])).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in out] == [0, 1, 1]
+    assert left["texts"] == {"lines"} and left["linked"] == set() and left["rest"] == set()
+
+
 def test_line_dedup_signs_lose_no_pair_and_keep_unlike_ones_apart(spark):
     """Lines of one bucket, each in a group of its own: only those that may be alike leave the join, and no alike ones stay there."""
     rng = np.random.default_rng(18)
