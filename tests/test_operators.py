@@ -297,3 +297,19 @@ def test_metrics_folded_in_cells_are_those_of_the_pairs(spark, monkeypatch, bloc
 def test_rows_of_vectors_sent_grow_no_faster_than_the_rows(spark):
     sent = {rows: pairs.vector_blocks(spark.range(rows)) * rows for rows in (120_000, 720_000)}
     assert sent[720_000] <= 6 * sent[120_000]
+
+
+def test_values_of_all_pairs_are_counted_in_chunks(spark, monkeypatch):
+    """Few rows leave the cells, not one for each value; ranks are those of the pairs, of values over a wide range too."""
+    sent, fold = [], neighbors.fold_pairs
+    monkeypatch.setattr(neighbors, "fold_pairs", lambda *a, **k: sent.append(fold(*a, **k)) or sent[-1])
+    monkeypatch.setattr(neighbors, "HELD", 70_000, raising=False)
+    monkeypatch.setattr(neighbors, "vector_blocks", lambda v: 1)
+    x = np.random.default_rng(4).normal(size=(400, 5)).round(3)
+    for by in (1, 1000):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x * by)], "k long, v array<double>")
+        ranks = neighbors.pairwise_metrics(df, "k", "v").toPandas()[["cosine_similarity", "euclidean_distance"]].round(4).rank()
+        del sent[:]
+        s = neighbors.metric_spearman(df, "k", "v", 4).first()
+        assert s["n"] == len(ranks) == 79_800 and abs(s["rho"] - ranks.corr().iloc[0, 1]) < 1e-6
+        assert by > 1 or sent[0].count() < 100  # of about 40,000 different values
