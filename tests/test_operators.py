@@ -313,3 +313,12 @@ def test_values_of_all_pairs_are_counted_in_chunks(spark, monkeypatch):
         s = neighbors.metric_spearman(df, "k", "v", 4).first()
         assert s["n"] == len(ranks) == 79_800 and abs(s["rho"] - ranks.corr().iloc[0, 1]) < 1e-6
         assert by > 1 or sent[0].count() < 100  # of about 40,000 different values
+
+
+def test_only_metrics_asked_for_are_worked_out(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)], "k long, v array<double>")
+    both = {(r["k_1"], r["k_2"]): r for r in neighbors.pairwise_metrics(df, "k", "v").collect()}
+    for m in ("cosine_similarity", "euclidean_distance"):
+        p = neighbors.pairwise_metrics(df, "k", "v", metrics=(m,))
+        assert p.columns == ["k_1", "k_2", m]
+        assert {(r["k_1"], r["k_2"]): r[m] for r in p.collect()} == {k: r[m] for k, r in both.items()}
